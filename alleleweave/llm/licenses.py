@@ -23,8 +23,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_WORDS = 64
 #: Diagonals so close are merged: so many words put in or left out within a template.
 DRIFT = 3
-#: A span counts if so many of the template's 2-grams are found ...
+#: A span counts if so many of the template's 2-grams are found, of a short notice all, as every word
+#: matters there ...
 COVERAGE = 0.8
+SHORT = 12
 #: ... in at most so many times its length.
 STRETCH = 1.5
 
@@ -102,7 +104,8 @@ def license_scan(docs: DataFrame, wanted: list[Template] | None = None, id_col:
 
     n_base counts the places where all words of a base phrase stand one after another, first_word and
     last_word are the smallest and largest start of these (else null). labels has the base labels and
-    those of every notice of which ``coverage`` of the 2-grams stand on neighbouring diagonals; both lists
+    those of every notice of which ``coverage`` of the 2-grams (all, if it has less than ``SHORT`` words) stand
+    on neighbouring diagonals; both lists
     are distinct, sorted and comma-joined, empty if nothing is found. score is the largest share of a
     template's 2-grams found in a span, 0 if there is none. Null and empty texts have no words. Rows with
     equal or null ids stay apart; other columns are ignored; an empty table gives an empty result.
@@ -123,7 +126,7 @@ def license_scan(docs: DataFrame, wanted: list[Template] | None = None, id_col:
     found = F.when(short & ~F.col("is_base"), F.greatest(F.col("own"), F.bit_count("hits") / F.col("grams"))).otherwise(F.col("own"))
     spans = spans.withColumn("found", F.coalesce(found, F.lit(0.0)))
     place = F.col("is_base") & (F.col("found") >= 1.0)
-    seen = place | (~F.col("is_base") & (F.col("found") >= coverage))
+    seen = place | (~F.col("is_base") & (F.col("found") >= F.when(F.col("grams") + 1 < SHORT, 1.0).otherwise(coverage)))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")  # noqa: E731  at most one of each label
     return spans.groupBy("row", "id", "n_words").agg(
         F.count(F.when(place, 1)).alias("n_base"),

@@ -7,8 +7,8 @@ orthogonal to all of them, and in that table the two fingerprints agree on every
 pair within the radius collides in some table, with certainty.
 
 Only distinct fingerprints are compared. A bucket that is still large is cut by a second covering over the
-bits its table doesn't look at. After that 50 of 64 bits agree, so a bucket can't hold more than 2**14
-fingerprints, whatever the data. A bucket gives a tree for each of its clusters, not its pairs.
+bits its table doesn't look at. After that 48 of 64 bits agree at least, so a bucket can't hold more than
+2**16 fingerprints, whatever the data. A bucket gives a tree for each of its clusters, not its pairs.
 """
 
 from __future__ import annotations

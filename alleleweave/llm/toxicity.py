@@ -1,9 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of words, one of the labelled toxic texts and one of the ordinary ones. In each a word's count
-is discounted, and what that frees goes to a backoff that both share: Kneser-Ney's continuation counts, in
-how many different contexts (words before it, over both classes) a word occurs. A rare expression
-has the same backoff in either model, so it says little; a word that one class prefers says much.
+Two models of words, one of the labelled toxic texts and one of the ordinary ones. As in Kneser-Ney's lower
+orders a word counts by how many different words it follows, not by how often it occurs, so a
+passage that is copied or a line that is repeated counts once. In each class these counts are discounted,
+and what that frees goes to a word's stem, of which the word gets the share that it has in the counts of both
+classes; the stem's counts are discounted and smoothed by those of both classes in turn. So a rare
+expression says no more than the words that look alike; a word that one class prefers says much.
 
 A text is compared as a whole and in windows, by the difference of log-likelihoods per word: a long text
 with a few toxic sentences is ordinary on average, and its worst window isn't. A logistic regression on
@@ -28,11 +30,16 @@ from .common import BROADCAST_BYTES, checkpointed
 MOST_ROWS = 12_000
 #: Bound of the characters of that sample; the row that crosses it is the last.
 MOST_CHARS = 24_000_000
-FOLDS = 3
-DISCOUNT = 0.75
-WINDOW = 20
-#: Words with less than so many occurrences in the sample are left to the backoff of unseen words.
-LEAST_COUNT = 2
+FOLDS = 2
+#: Bytes of a word's stem, to which it backs off.
+STEM = 4
+#: Above 1, so that a few contexts, which chance gives many words, count for nothing beyond the backoff.
+DISCOUNT = 2.5
+#: Words of the windows whose most toxic is compared, beside the whole text.
+WINDOWS = (1, 4, 20)
+FEATURES = 2 + len(WINDOWS)
+#: Words with less than so many contexts in the sample are left to the backoff of unseen words.
+LEAST_COUNT = 5
 STRIP = b".,;:!?\"'()[]*%$&#|"
 
 
@@ -43,82 +50,117 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """log P(w | toxic) - log P(w | ordinary) for each kept word and, for the rest, ``unseen``; and the scale."""
+    """log P(w | toxic) - log P(w | ordinary) for each kept word, for the rest that of the kept stem, or ``unseen``;
+    and the scale."""
 
     ratio: dict[bytes, float]
+    stems: dict[bytes, float]
     unseen: float
     weights: np.ndarray
 
     def features(self, words: list[bytes]) -> np.ndarray:
+        """1, the difference per word of the whole text, and the largest of each size of window."""
         if not words:
-            return np.zeros(3)
-        r = np.fromiter((self.ratio.get(w, self.unseen) for w in words), float, len(words))
+            return np.zeros(FEATURES)
+        ratio, stems, unseen = self.ratio, self.stems, self.unseen
+        r = np.fromiter((ratio[w] if w in ratio else stems.get(w[:STEM], unseen) for w in words), float, len(words))
         sums = np.r_[0.0, np.cumsum(r)]
-        k = min(WINDOW, len(r))
-        most = float(((sums[k:] - sums[:-k]) / WINDOW).max())
-        return np.array([1.0, r.mean(), most])
+        out = [1.0, sums[-1] / len(r)]
+        for size in WINDOWS:
+            k = min(size, len(r))
+            out.append(float((sums[k:] - sums[:-k]).max()) / size)
+        return np.array(out)
 
     def score(self, text: bytes | None) -> float:
         z = float(self.features(words_of(text)) @ self.weights) if text else float(self.weights[0])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit_ratios(texts: list[list[bytes]], toxic: list[int]) -> tuple[dict[bytes, float], float]:
+def fit_ratios(texts: list[list[bytes]], toxic: list[int]) -> tuple[dict[bytes, float], dict[bytes, float], float]:
     """Kneser-Ney models of both classes with one backoff, as log ratios."""
-    counts = (Counter(), Counter())
-    contexts: set[tuple[bytes, bytes]] = set()
+    contexts: tuple[set, set] = (set(), set())
     for words, y in zip(texts, toxic):
-        counts[y].update(words)
-        contexts.update(zip([b"", *words], words))
-    follows = Counter(w for _, w in contexts)
-    kinds = len(follows) + 1
-    shared = lambda w: (follows.get(w, 0) + 1) / (len(contexts) + kinds)
+        contexts[y].update(zip([b"", *words], words))
+    counts = [Counter(w for _, w in c) for c in contexts]
+    stems = [_by_stem(c) for c in counts]
     total = [max(1, sum(c.values())) for c in counts]
-    freed = [max(DISCOUNT * len(c), 0.5) / n for c, n in zip(counts, total)]
+    both, both_stems = counts[0] + counts[1], stems[0] + stems[1]
+    freed = [max(sum(min(DISCOUNT, k) for k in c.values()), 0.5) / n for c, n in zip(counts, total)]
+    freed_stems = [max(sum(min(DISCOUNT, k) for k in c.values()), 0.5) / n for c, n in zip(stems, total)]
+    kinds, pairs = len(both_stems) + 1, sum(total)
 
-    def log_p(w: bytes, y: int) -> float:
-        return math.log(max(counts[y].get(w, 0) - DISCOUNT, 0) / total[y] + freed[y] * shared(w))
+    def stem_p(s: bytes, y: int) -> float:
+        return max(stems[y].get(s, 0) - DISCOUNT, 0) / total[y] + freed_stems[y] * (both_stems.get(s, 0) + 1) / (pairs + kinds)
 
-    both = counts[0] + counts[1]
-    ratio = {w: log_p(w, 1) - log_p(w, 0) for w, n in both.items() if n >= LEAST_COUNT}
-    return ratio, math.log(freed[1]) - math.log(freed[0])
+    def word_ratio(w: bytes) -> float:
+        s = w[:STEM]
+        share = (both[w] + 1) / (both_stems[s] + 1)  # of the word in its stem, over both classes
+        p = [max(counts[y].get(w, 0) - DISCOUNT, 0) / total[y] + freed[y] * share * stem_p(s, y) for y in (0, 1)]
+        return math.log(p[1] / p[0])
 
+    ratio = {w: word_ratio(w) for w, n in both.items() if n >= LEAST_COUNT}
+    unseen = math.log(freed[1]) - math.log(freed[0])
+    known = {s: unseen + math.log(stem_p(s, 1) / stem_p(s, 0)) for s, n in both_stems.items() if n >= LEAST_COUNT}
+    return ratio, known, unseen + math.log(freed_stems[1]) - math.log(freed_stems[0])
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Newton's method with a ridge on all but the first weight."""
-    w = np.zeros(x.shape[1])
+
+def _by_stem(counts: Counter) -> Counter:
+    out = Counter()
+    for w, n in counts.items():
+        out[w[:STEM]] += n
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Newton's method, halving steps that don't help, on scaled features with a ridge on all but the first weight."""
+    mean, scale = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-9
+    z = np.c_[x[:, 0], (x[:, 1:] - mean) / scale]
     penalty = np.r_[1e-6, np.full(x.shape[1] - 1, ridge)]
+
+    def loss(w: np.ndarray) -> float:
+        t = z @ w
+        return float((weight * (np.logaddexp(0, t) - y * t)).sum() + (penalty * w * w).sum() / 2)
+
+    w = np.zeros(z.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -10, 10)
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (weight * (y - p)) - penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return w
+    return np.r_[w[0] - (w[1:] * mean / scale).sum(), w[1:] / scale]
 
 
-def fit(texts: list[bytes | None], toxic: list[int]) -> Model:
-    """The scale is learned on rows whose words were left out of the models, in ``FOLDS`` folds."""
+def fit(texts: list[bytes | None], toxic: list[int], share: float | None = None) -> Model:
+    """The scale is learned on rows whose words were left out of the models, in ``FOLDS`` folds. ``share`` of all
+    labels is toxic; the rows are weighed so that they are, too."""
     words = [words_of(t) for t in texts]
     x, y = [], []
     for k in range(FOLDS):
         rest = [i for i in range(len(words)) if i % FOLDS != k]
-        part = Model(*fit_ratios([words[i] for i in rest], [toxic[i] for i in rest]), np.zeros(3))
+        part = Model(*fit_ratios([words[i] for i in rest], [toxic[i] for i in rest]), np.zeros(FEATURES))
         for i in range(k, len(words), FOLDS):
             if words[i]:
                 x.append(part.features(words[i]))
                 y.append(toxic[i])
-    weights = logistic(np.array(x).reshape(-1, 3), np.array(y, float)) if 0 < sum(y) < len(y) else np.array([-3.0 if not sum(y) else 3.0, 0.0, 0.0])
+    own = sum(y) / max(1, len(y))
+    weigh = lambda v: 1.0 if share is None else share / own if v else (1 - share) / (1 - own)
+    weights = logistic(np.array(x).reshape(-1, FEATURES), np.array(y, float), np.array([weigh(v) for v in y])) if 0 < sum(y) < len(y) else np.r_[-3.0 if not sum(y) else 3.0, np.zeros(FEATURES - 1)]
     return Model(*fit_ratios(words, toxic), weights)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[list[bytes | None], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[list[bytes | None], list[int], float | None]:
     """At most ``most_rows`` labelled rows, at most half of either class, in the order of their ids' hashes; only
-    rows for which ``held_out`` is not true, and whose label is 0 or 1."""
+    rows for which ``held_out`` is not true, and whose label is 0 or 1. An id with both labels is toxic. Third,
+    the share of toxic among all such rows."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     if held_out is not None:
         rows = rows.withColumnRenamed("id", id_col).where(~F.coalesce(held_out, F.lit(False))).withColumnRenamed(id_col, "id")
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))
+    share = rows.agg(F.avg("y")).head()[0]
     order = F.xxhash64("id", F.lit(5))
     picked = [rows.where(F.col("y") == y).orderBy(order, "id").limit(most_rows // 2) for y in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most most_rows rows of two numbers
@@ -131,7 +173,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column | None
         texts.append(bytes(row["text"]) if row["text"] is not None else None)
         toxic.append(int(row["y"]))
         chars += row["size"]
-    return texts, toxic
+    return texts, toxic, share
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
@@ -141,7 +183,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null and empty texts have the score that no evidence gives. Rows with equal or null ids stay apart; an
     empty table gives an empty result. Nothing is shuffled.
     """
-    if sum(len(w) + 16 for w in model.ratio) > BROADCAST_BYTES:
+    if sum(len(w) + 16 for part in (model.ratio, model.stems) for w in part) > BROADCAST_BYTES:
         raise ValueError("the model is too large to be broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,0 +1,547 @@
+"""The ten operators against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from alleleweave.llm import ann, bpe, components, exact, licenses, lines, lm, mixing, queries, simhash, toxicity, urls
+
+PATH = public_tokenizers.path(queries.VOCABULARY)
+PATTERN = public_tokenizers.PATTERN
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, id string, size int"
+SF = "/root/testdata/sf0.001"
+
+
+def ascii_lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(1)
+    words = ["the", "Of", "straße", "ÉTÉ", "naïve", "don't", "x1", "42", "日本語", "🙂", "a|b", "CC", "by", "General", "Public", "License"]
+    out = [None, "", " \t\n", "A", "a", "\u00a0", "É", "é", "a\n\na", "I" * 300, "word " * 4000, "CC BY-NC, cc by; all Rights\nreserved"]
+    for _ in range(60):
+        out.append("".join(r.choice(words) + r.choice([" ", " ", "  ", "\n", ", ", "\x0b", "\u2003"]) for _ in range(r.randint(1, 60))))
+    line = "This very line, longer than forty code points, stands in many documents."
+    out += [f"{line}\nown {k}\n {line.upper()}\t" for k in range(6)] + out[12:20] + [None, ""]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(n, t, "en", f"s{n % 3}" if n % 7 else None, 0, n, "clash", n) for n, t in enumerate(texts)]
+    rows += [(None, "no id", None, None, None, None, None, None), (None, "No ID", None, None, None, None, None, None), (5, "again, with an id that another row has", "en", "s1", 1, 1, "x", 1)]
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+def rows_of(docs):
+    return [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+
+
+OPERATORS = {
+    "bpe": lambda d: bpe.encode(d, PATH, PATTERN, decoded=True),
+    "simhash": simhash.near_groups,
+    "exact": exact.exact_dedup,
+    "lm": lambda d: lm.lm_scores(d, queries.remainder("doc_id", 10) == 0),
+    "lines": lines.line_dedup,
+    "toxicity": lambda d: toxicity.toxicity(d, toxicity.fit([b"you clown"] * 9 + [b"hello there"] * 9, [1] * 9 + [0] * 9)),
+    "mixing": mixing.mix,
+    "mixed": mixing.mixed_documents,
+    "licenses": licenses.license_scan,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables_and_one_row_for_each(spark, docs, name):
+    assert OPERATORS[name](docs.limit(0)).count() == 0
+    if name != "mixed":
+        out = OPERATORS[name](docs).select("doc_id").collect()
+        assert Counter(r[0] for r in out) == Counter(i for i, _, _ in rows_of(docs))
+
+
+def test_other_empty_tables(spark):
+    assert urls.url_filter(spark.createDataFrame([], "page_id long, url string"), urls.entries(spark, [])).count() == 0
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 2 == 0).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1. BPE
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    ranks = bpe.ByteBPE(open(PATH, "rb").read(), PATTERN).ranks
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken(docs, encoding):
+    for r in bpe.encode(docs, PATH, PATTERN, decoded=True).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").where("doc_id <> 5").collect():
+        assert r["ids"] == encoding.encode_ordinary(r["text"] or "")
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
+
+
+def test_bpe_patterns_agree_on_every_code_point(encoding):
+    coder = bpe.ByteBPE(open(PATH, "rb").read(), PATTERN)
+    wrong = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and coder.encode(s := f"a{chr(c)} {chr(c)}1") != encoding.encode_ordinary(s)]
+    assert wrong == []
+
+
+def test_bpe_random_bytes_and_long_matches(encoding):
+    coder = bpe.ByteBPE(open(PATH, "rb").read(), PATTERN)
+    r = random.Random(2)
+    for n in (1, 2, 3, 17, 500, 9000):
+        t = "".join(r.choice("abcdeé日 ") for _ in range(n)).replace(" ", "" if n > 400 else " ")
+        assert coder.encode(t) == encoding.encode_ordinary(t)
+    assert coder.decode(coder.encode("x" * 70_001)) == b"x" * 70_001
+
+
+def test_bpe_decode(spark, docs):
+    t = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH, PATTERN)
+    assert Counter(bytes(r["text"]) for r in t.collect()) == Counter((t or "").encode() for _, t, _ in rows_of(docs))
+
+
+# 2. SimHash
+
+
+def slow_fingerprint(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", ascii_lower(text)) if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(fps):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("large", [2048, 3])
+def test_simhash_equals_brute_force(docs, large):
+    got = simhash.near_groups(docs, large=large).collect()
+    want = sorted((slow_fingerprint(t), i) for i, t, _ in rows_of(docs) if i is not None)
+    assert sorted((r["fp"] % (1 << 64), r["doc_id"]) for r in got if r["doc_id"] is not None) == want
+    comp = slow_components([f for f, _ in want])
+    least = defaultdict(lambda: 1 << 60)
+    for (_, i), c in zip(want, comp):
+        least[c] = min(least[c], i)
+    by = {(f, i): least[c] for (f, i), c in zip(want, comp)}
+    assert all(r["component_id"] == by[r["fp"] % (1 << 64), r["doc_id"]] for r in got if r["doc_id"] is not None)
+
+
+@pytest.mark.parametrize("large", [2048, 2, 40])
+def test_covering_loses_no_link(spark, large):
+    r = random.Random(3)
+    fps = {0, 1}
+    for _ in range(40):
+        x = r.getrandbits(64)
+        for _ in range(r.randint(1, 30)):
+            fps.add(x)
+            for b in r.sample(range(64), r.randint(0, 4)):
+                x ^= 1 << b
+    fps = sorted(fps)
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    root = {x["node"] % (1 << 64): x["root"] % (1 << 64) for x in components.components(simhash.links(df, large=large)).collect()}
+    comp = slow_components(fps)
+    for i in range(len(fps)):
+        for j in range(i):
+            assert (comp[i] == comp[j]) == (root.get(fps[i], fps[i]) == root.get(fps[j], fps[j]))
+
+
+def test_covering_masks():
+    masks = simhash.covering()
+    r = random.Random(4)
+    for _ in range(3000):
+        d = sum(1 << b for b in r.sample(range(64), 3))
+        assert any(m & d == 0 for m in masks)
+    for m in masks:
+        free = ~m & ((1 << 64) - 1)
+        inner = simhash.covering(free)
+        assert max(free.bit_count() - x.bit_count() for x in inner) <= 16
+        for _ in range(100):
+            at = [b for b in range(64) if free >> b & 1]
+            d = sum(1 << b for b in r.sample(at, 3))
+            assert any(x & d == 0 for x in inner)
+
+
+def test_components_of_paths_and_stars(spark):
+    e = [(i, i + 1) for i in range(200, 260)] + [(7, i) for i in range(8, 90)] + [(3, 3), (500, 400), (400, 500)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(e, "a long, b long").repartition(7)).collect()}
+    assert got == {i: 200 for i in range(200, 261)} | {i: 7 for i in range(7, 90)} | {400: 400, 500: 400}
+
+
+# 3. URLs
+
+
+def slow_url(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
+    host, path = ascii_lower(m[1]), m[2]
+    fits = [(h, p, v, own) for h, p, v, own in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = lambda own: max(((len(h + p), len(h), v, h + p) for h, p, v, o in fits if o == own), default=None)
+    r, o = best(True), best(False)
+    return host, path, r and r[3], (r or o or (0, 0, "allow"))[2]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_url_filter_equals_brute_force(spark, broadcast_bytes):
+    cases = [None, "", "x", "://", "http://", "http://COM/en/1", "http://a.Example.com/en/7?x", "http://example.com/en/8", "http://xexample.com/en/7", "https://example.net/de/8#y", "https://net/de/", "http://b.org/es", "http://b.org/es/?q", "http://example.com:80/en/7", "a://b://c.com/en/", "http://spam-farm.example.org", "http://m.cheap-pills.example.com/en/7/x", "http://exämple.com/en/\nx", "http://..com/en/", "http://www.a.b.c.d.e.com/en/zzz"]
+    rules = [(h, p, v, True) for h, p, v in queries.URL_RULES] + [(h, "", "block", False) for h in queries.LISTED_SITES]
+    pages = spark.createDataFrame([(n, u, "x", "y") for n, u in enumerate(cases * 2)], "page_id long, url string, host string, rule string")
+    got = urls.url_filter(pages, urls.entries(spark, rules), broadcast_bytes=broadcast_bytes).collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == {n: slow_url(u, rules) for n, u in enumerate(cases * 2)}
+
+
+def test_bloom_filter_passes_every_key(spark):
+    keys = spark.range(3000).selectExpr("concat('h', id) AS host", "concat('/', id) AS path")
+    b = urls.bloom_blocks(keys, 200)
+    k = keys.select(urls._key(F.col("host"), F.col("path")).alias("k"))
+    hit = k.withColumn("block", urls._block(F.col("k"), 200)).join(b, "block")
+    probe = [F.col(w).bitwiseAND(m) == m for w, m in zip(urls.WORDS, urls._masks(F.col("k")))]
+    assert hit.where(probe[0] & probe[1] & probe[2] & probe[3]).count() == 3000
+    other = spark.range(3000, 13000).select(urls._key(F.concat(F.lit("z"), F.col("id")), F.lit("")).alias("k")).withColumn("block", urls._block(F.col("k"), 200)).join(b, "block")
+    assert other.where(probe[0] & probe[1] & probe[2] & probe[3]).count() < 500
+
+
+# 4. Exact dedup
+
+
+@pytest.mark.parametrize("digest", [None, lambda t: F.length(t) % 3])
+def test_exact_dedup_equals_brute_force(docs, digest):
+    got = exact.exact_dedup(docs, digest=digest).collect()
+    groups = defaultdict(list)
+    for i, t, _ in rows_of(docs):
+        groups[ascii_lower(t)].append(i)
+    want = []
+    for t, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    assert Counter(tuple(r) for r in got) == Counter(want)
+
+
+# 5. LM
+
+
+def slow_lm(rows, held):
+    toks = [[w for w in re.split("[\x20\x09-\x0d]+", ascii_lower(t)) if w] + [None] for _, t, _ in rows]
+    train = [t for t, h in zip(toks, held) if not h]
+    uni, pair = Counter(w for t in train for w in t), Counter((a, b) for t in train for a, b in zip([None, *t], t))
+    return toks, uni, pair, sum(uni.values()), len(uni)
+
+
+@pytest.mark.parametrize("block", [1 << 21, 50])
+def test_lm_counts_and_scores_equal_brute_force(docs, block, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", block)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", block)
+    learned = []
+    learn = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda h: learned.append(learn(h)) or learned[-1])
+    got = lm.lm_scores(docs, queries.remainder("doc_id", 10) == 0).collect()
+    rows = rows_of(docs)
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows]
+    toks, uni, pair, n, v = slow_lm(rows, held)
+    w, want = learned[0], []
+    for (i, _, _), h, t in zip(rows, held, toks):
+        base = sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)
+        score = 0.0
+        for a, b in zip([None, *t], t):
+            c = uni[a]
+            l2, l1, l0 = w[0 if c == 0 else 1 + int(math.log2(c))]
+            score += math.log10(l2 * (pair[a, b] / c if c else 0) + l1 * uni[b] / n + l0 / (v + 1))
+        want.append((i, h, len(t), sum(uni[x] > 0 for x in t), n, round(base, 6), round(score, 6)))
+    assert Counter((*tuple(r)[:5], round(r[5], 6), round(r[6], 6)) for r in got) == Counter(want)
+    assert np.allclose(w.sum(1), 1) and (w >= 0).all()
+
+
+def test_lm_is_better_than_the_base_on_held_out_texts(spark):
+    got = queries.op5_lm_scoring(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).head()
+    assert got[0] > got[1]
+
+
+def test_em_recovers_weights():
+    import pandas as pd
+
+    p = np.array([[4, 2], [-1, 3], [6, -1], [-1, -1]])
+    w = np.array([0.6, 0.3, 0.1])
+    like = np.where(p < 0, 0, 2.0 ** (p / lm.STEPS)) @ w[:2] + w[2]
+    h = pd.DataFrame({"bucket": 3, "pair_bin": p[:, 0], "word_bin": p[:, 1], "n": 1.0})
+    got = lm.learn_weights(h)[3]
+    best = lambda x: (np.log(np.where(p < 0, 0, 2.0 ** (p / lm.STEPS)) @ x[:2] + x[2])).sum()
+    assert best(got) >= np.log(like).sum() - 1e-3
+
+
+def test_lm_without_training_rows(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert {(r["n_known"], r["train_tokens"], r["score"]) for r in lm.lm_scores(d, F.lit(True)).collect()} == {(0, 0, 0.0)}
+
+
+# 6. Lines
+
+
+def slow_lines(rows):
+    key = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
+    held = defaultdict(set)
+    for i, t, _ in rows:
+        for x in (t or "").split("\n"):
+            held[key(x)].add(i)
+    rank = lambda i: (i is not None, i or 0)
+    out = []
+    for i, t, _ in rows:
+        ls = (t or "").split("\n")
+        kept = [x for x in ls if len(key(x)) < 40 or len(held[key(x)]) < 5 or max(held[key(x)], key=rank) == i]
+        out.append((i, len(ls), len(ls) - len(kept), "\n".join(kept)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_line_dedup_equals_brute_force(docs, broadcast_bytes):
+    got = lines.LineIndex.of(docs).apply(docs, broadcast_bytes=broadcast_bytes, keep=("lang", "row")).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == slow_lines(rows_of(docs))
+
+
+def test_line_index_is_reversible(docs):
+    a, b = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    index = lines.LineIndex.of(a)
+    after = index.insert(b)
+    both = lambda x: sorted(map(tuple, x.refs.collect()))
+    assert both(after.delete(b)) == both(index)
+    assert both(after) == both(lines.LineIndex.of(a.union(b)))
+
+
+def test_cuckoo_filter():
+    keys = np.random.default_rng(5).integers(0, 1 << 63, 5000).astype(np.uint64)
+    f = lines.CuckooFilter(keys)
+    assert f.might_contain(keys).all() and f.keys == 5000
+    other = np.random.default_rng(6).integers(0, 1 << 63, 5000).astype(np.uint64)
+    assert f.might_contain(other).mean() < 0.01
+    assert all(f.delete(int(k)) for k in keys[:2500])
+    assert f.might_contain(keys[2500:]).all() and f.might_contain(keys[:2500]).mean() < 0.01
+    assert f.insert(int(keys[0])) and f.might_contain(keys[:1]).all()
+
+
+# 7. Nearest neighbours
+
+
+def test_nearest_recall_and_scores(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((4000, 32)).astype(np.float32)
+    x[100:130] = x[0]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    rows += [(None, x[0].tolist(), 1), (9001, None, 1), (9002, [0.0] * 32, 1), (9003, [float("nan")] * 32, 1), (9004, [None] + [1.0] * 31, 1), (9005, [1.0] * 31, 1), (9100, [float("inf")] * 32, 1)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)
+    got = ann.nearest(t, lambda i: i % 100 == 0).collect()
+    by = defaultdict(list)
+    for g in got:
+        by[g["query_id"]].append((g["rank"], g["vec_id"], g["score"]))
+    assert sorted(by) == list(range(0, 4000, 100))
+    x, hit = x.astype(float), 0
+    for q, found in by.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert [k for k, _, _ in sorted(found)] == list(range(1, 11))
+        assert all(abs(s - d[i]) < 1e-12 for _, i, s in found) and q not in [i for _, i, _ in found]
+        d[q] = np.inf
+        want = np.lexsort((np.arange(4000), d))[:10]
+        hit += len({i for _, i, _ in found} & set(want.tolist()))
+        assert sorted((s, i) for _, i, s in found) == [(s, i) for _, i, s in sorted(found)]
+    assert hit / 400 >= 0.9
+    assert [i for _, i, _ in sorted(by[0])] == list(range(100, 110))
+
+
+def test_nearest_of_few(spark):
+    t = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.nearest(t, lambda i: i == 0).collect()))
+    assert [g[:3] for g in got] == [(0, 1, 2), (0, 2, 1)] and got[0][3] == 0 and abs(got[1][3] - 2**0.5) < 1e-12
+
+
+def test_nearest_recall_on_the_given_table(spark):
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = t.select("vec_id", "embedding").collect()
+    x, ids = np.array([r[1] for r in rows], float), np.array([r[0] for r in rows])
+    got = defaultdict(set)
+    for g in ann.nearest(t, lambda i: i % 100 == 0).collect():
+        got[g["query_id"]].add(g["vec_id"])
+    hit = 0
+    for q, found in got.items():
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hit += len(found & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit / (10 * len(got)) >= 0.9
+
+
+# 8. Toxicity
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op8_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "predicted", "toxic").collect()
+    s, y = np.array([g["score"] for g in got]), np.array([g["toxic"] for g in got])
+    auc = (s[y == 1][:, None] > s[y == 0][None]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0][None]).mean()
+    p = np.array([g["predicted"] for g in got])
+    print("auc", auc, "recall", p[y == 1].mean(), "false alarms", p[y == 0].mean())
+    assert auc > 0.95 and p[y == 1].mean() > 0.85 and p[y == 0].mean() < 0.05
+    assert ((s >= 0) & (s <= 1)).all() and ((s >= 0.3) == (p == 1)).all()
+
+
+def test_toxicity_with_labels_of_one_class_or_none(spark, docs):
+    for labels in ([], [0, 0], [1]):
+        m = toxicity.fit([b"some text"] * len(labels), labels)
+        assert 0 <= m.score(b"some other text") <= 1 and 0 <= m.score(None) <= 1
+    labels = spark.createDataFrame([(1, None), (2, 5), (None, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels)[1] == [1]
+
+
+# 9. Mixing
+
+
+def test_mixing_meets_targets(docs):
+    got = mixing.mix(docs).collect()
+    rows = rows_of(docs)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    target, rest, left = {}, dict(weight), 1.5 * sum(sizes.values())
+    while rest:
+        share = {s: left * w / sum(rest.values()) for s, w in rest.items()}
+        over = [s for s in rest if share[s] > 2 * sizes[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+            del rest[s]
+    assert {round(g["target"], 6) for g in got} == {round(x, 6) for x in target.values()}
+    assert all(g["taken"] <= 2 * g["size"] and g["taken"] == g["times"] * g["size"] for g in got)
+    taken = defaultdict(int)
+    for g in got:
+        taken[g["source_size"], round(g["target"], 6)] += g["taken"]
+    most = max(size(t) for _, t, _ in rows)
+    assert all(abs(v - t) <= most for (_, t), v in taken.items())
+    assert [g["position"] for g in got if g["times"]] == sorted(g["position"] for g in got if g["times"])
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert Counter((g["doc_id"], g["size"], g["taken"]) for g in got) == Counter((g["doc_id"], g["size"], g["taken"]) for g in again)
+
+
+def test_positions_invert_the_demand(spark):
+    for ramp in (-0.5, 0.0, 0.17):
+        for t in (0.0, 0.3, 1.0):
+            u = t * (1 - ramp) + ramp * t * t
+            assert abs(spark.range(1).select(mixing.position(F.lit(u), F.lit(ramp))).head()[0] - t) < 1e-9
+
+
+def test_mixed_documents_repeat_rows(docs):
+    times = Counter()
+    for g in mixing.mix(docs).collect():
+        times[g["doc_id"]] += g["times"]
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert Counter(r["doc_id"] for r in out.collect()) == +times
+
+
+# 10. Licenses
+
+
+def slow_base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    at, labels = [], set()
+    for phrase, label in licenses.BASE_PHRASES:
+        p = phrase.split()
+        for i in range(len(words)):
+            if words[i : i + len(p)] == p:
+                at.append(i)
+                labels.add(label)
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def test_license_base_equals_brute_force(docs):
+    got = Counter((r["doc_id"], *tuple(r)[1:6]) for r in licenses.license_scan(docs).collect())
+    assert got == Counter((i, *slow_base(t)) for i, t, _ in rows_of(docs))
+
+
+def test_license_notices(spark):
+    apache = licenses.NOTICES[5][0]
+    words = apache.split()
+    cases = {
+        1: ("Released under the MIT License.", {"mit"}),
+        2: ("x " * 50 + apache.title() + " y" * 30, {"apache-2.0"}),
+        3: (" ".join([*words[:9], "really", *words[9:]]), {"apache-2.0"}),
+        4: (" ".join(words[:8]), set()),
+        5: ("of the " * 500, set()),
+        6: ("cc by cc by cc by", {"cc-by"}),
+        7: ("This work is licensed under the GNU General Public License, version 3.", {"gpl", "gpl-3.0"}),
+        8: (("word " * 30 + "all rights reserved ") * 40, {"reserved"}),
+        9: ("permission is here", set()),
+    }
+    got = licenses.license_scan(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")).collect()
+    for r in got:
+        assert set(filter(None, r["labels"].split(","))) == cases[r["doc_id"]][1], r
+        assert 0 <= r["score"] <= 1
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+    assert {r["doc_id"]: r["n_base"] for r in got}[6] == 3 and {r["doc_id"]: r["n_base"] for r in got}[8] == 40
+
+
+# Queries and pipeline
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_queries_equal_their_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = db.execute(queries.ORACLE_SQL[name])
+    cols = [c[0] for c in want.description]
+    assert sorted(cols) == sorted(got.columns)
+    assert Counter(tuple(r) for r in got.select(cols).collect()) == Counter(want.fetchall())
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = lambda df: Counter(tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect())
+    toxic = p.drop_toxic(spark, docs, SF).cache()
+    model = toxicity.fit(*toxicity.labelled_sample(docs, spark.read.parquet(f"{SF}/labels.parquet"), queries.remainder("doc_id", 4) == 2))
+    assert key(toxic) == Counter(tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect() if model.score((r["text"] or "").encode()) < 0.3)
+    cut = p.drop_lines(spark, toxic, SF).cache()
+    assert Counter((r["doc_id"], r["text"]) for r in cut.collect()) == Counter({(k[0], k[3]): n for k, n in slow_lines(rows_of(toxic)).items()})
+    assert all(r["n_chars"] == len(r["text"]) for r in cut.collect())
+    near = p.drop_near_copies(spark, cut, SF).cache()
+    rows = sorted((r["doc_id"], r["text"]) for r in cut.collect())
+    comp = slow_components([slow_fingerprint(t) for _, t in rows])
+    first = {}
+    for (i, _), c in zip(rows, comp):
+        first.setdefault(c, i)
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted(first.values())
+    mixed = p.mix_sources(spark, near, SF).cache()
+    assert mixed.columns == docs.columns and set(key(mixed)) <= set(key(near))
+    tokens = p.tokenize(spark, mixed, SF)
+    assert tokens.count() == mixed.count() and tokens.where("NOT round_trip").count() == 0
+    assert Counter(r["doc_id"] for r in p.run(spark, SF).collect()) == Counter(r["doc_id"] for r in mixed.collect())
