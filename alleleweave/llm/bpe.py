@@ -10,15 +10,16 @@ point updates of logarithmic cost, however long the match.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct matches whose ids a Python worker remembers; beyond it starts anew. It only saves time.
-REMEMBERED = 200_000
+#: Matches whose ids a Python worker remembers, in about 200 bytes each. It only saves time.
+REMEMBERED = 800_000
 #: A rank file larger than this is refused, as it is broadcast.
 MOST_BYTES = 16 << 20
 
@@ -36,38 +37,40 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     tree = [none] * (2 * size)
     end = list(range(1, n + 1))  # where the symbol that starts at i ends
     before = list(range(-1, n))  # where the symbol before the one at i starts
+    rank = ranks.get
     for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
+        r = rank(piece[i : i + 2])
         if r is not None:
             tree[size + i] = r * size + i
     for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(i: int, r: int | None) -> None:
-        k = size + i
-        tree[k] = none if r is None else r * size + i
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-            k >>= 1
+        x, y = tree[2 * k], tree[2 * k + 1]
+        tree[k] = x if x < y else y
 
-    while tree[1] != none:
-        i = tree[1] & (size - 1)
+    while (least := tree[1]) != none:
+        i = least & (size - 1)
         gone = end[i]
         stop = end[i] = end[gone]
-        put(gone, None)
+        points = [(gone, None)]
         if stop < n:
             before[stop] = i
-            put(i, ranks.get(piece[i : end[stop]]))
+            points.append((i, rank(piece[i : end[stop]])))
         else:
-            put(i, None)
+            points.append((i, None))
         if i:
             p = before[i]
-            put(p, ranks.get(piece[p:stop]))
+            points.append((p, rank(piece[p:stop])))
+        for j, r in points:
+            k = size + j
+            tree[k] = none if r is None else r * size + j
+            k >>= 1
+            while k:
+                x, y = tree[2 * k], tree[2 * k + 1]
+                if y < x:
+                    x = y
+                if tree[k] == x:
+                    break
+                tree[k] = x
+                k >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -75,6 +78,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Remembered(dict):
+    """The ids of matches, as bytes of int32, found or merged. Half of them at least stay: those in use go from the
+    old half to the new one when they are met."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks, self.old = ranks, {}
+
+    def __missing__(self, match: str) -> bytes:
+        if len(self) >= REMEMBERED // 2:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(match)
+        if ids is None:
+            ids = array("i", merge(match.encode(), self.ranks)).tobytes()
+        self[match] = ids
+        return ids
+
+
 class ByteBPE:
     """Encoder and decoder for one rank file; remembers the matches it has merged."""
 
@@ -83,18 +105,16 @@ class ByteBPE:
         self.ranks = {base64.b64decode(a): int(b) for a, b in rows}
         self.pieces = {b: a for a, b in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known = Remembered(self.ranks)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, as bytes of int32."""
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> list[int]:
-        known, found = self.known, self.find(text)
-        if len(known) > REMEMBERED:
-            known.clear()
-        for p in found:
-            if p not in known:
-                known[p] = merge(p.encode(), self.ranks)
-        return list(chain.from_iterable(map(known.__getitem__, found)))
-
-    def decode(self, ids: list[int]) -> bytes:
+        return array("i", self.packed(text)).tolist()
+
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
@@ -131,10 +151,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for start in range(0, batch.num_rows, 256):  # bounds what is held of a batch's ids
                 part = batch.slice(start, 256)
-                ids = [coder.encode(t) if t else [] for t in part.column(1).to_pylist()]
-                out = [part.column(0), pa.array(ids, pa.list_(pa.int32()))]
+                ids = [array("i", coder.packed(t.as_py() or "")) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in ids]))
+                out = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)]
                 if decoded:
-                    out.append(pa.array([coder.decode(x) for x in ids], pa.binary()))
+                    out.append(pa.array(map(coder.decode, ids), pa.binary(), size=len(ids)))
                 yield pa.RecordBatch.from_arrays(out, ["id", "ids", "decoded"][: len(out)])
 
     schema = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
