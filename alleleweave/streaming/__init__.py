@@ -1,0 +1 @@
+"""Empty on purpose: a variant file is a bounded input, and no operator here has a notion of time."""
