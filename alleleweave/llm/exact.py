@@ -36,8 +36,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = (F.max("top").alias("top"), F.sum("n").alias("n"))
     salted = rows.groupBy("digest", salt.alias("salt"), "norm").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
     winners = salted.groupBy("digest", "norm").agg(*best)
-    winners = checkpointed(winners.select("digest", "top", "n"))
     per_digest = winners.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("top").alias("top"), F.max("n").alias("n"))
+    per_digest = checkpointed(per_digest)  # a plain table, so that AQE can split a digest with very many rows in the join below
     slim = rows.select("id", "digest", sha.alias("text_sha256")) if digest else rows.select("id", "digest", F.lower(F.hex("digest")).alias("text_sha256"))
     joined = slim.join(per_digest.where("texts = 1").drop("texts"), "digest")
     collided = per_digest.where("texts > 1").select("digest")
