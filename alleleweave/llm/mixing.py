@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of the shuffled order of each source: the first hex digits of the order's hash.
 BUCKET_DIGITS = 2
 #: A source's name that is never null and so joins.
-KEY = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+KEY = "coalesce(concat('s', source), '')"
 
 
 def target_words(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -71,12 +71,12 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
-    ).withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).withColumn("key", KEY)
+    ).withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).withColumn("key", F.expr(KEY))
     buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("source", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
     targets = target_words(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    plan = offsets.withColumn("key", KEY).drop("source").join(targets.withColumn("key", KEY), "key").select("key", "bucket", "offset", "source_size", "target", "ramp")
+    plan = offsets.withColumn("key", F.expr(KEY)).drop("source").join(targets.withColumn("key", F.expr(KEY)), "key").select("key", "bucket", "offset", "source_size", "target", "ramp")
     inside = Window.partitionBy("key", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(plan, ["key", "bucket"])  # dealt out as for the window: only the plan moves
@@ -84,8 +84,9 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     times = sum((F.when(middle + F.col("source_size") * c < F.col("target"), 1).otherwise(0) for c in range(int(most + 1))), F.lit(0))
     d = d.withColumn("times", times.cast("long"))
     d = d.withColumn("position", F.when(F.col("times") > 0, position(middle / F.col("target"), F.col("ramp"))))
-    out = d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "position", *[F.col(f"keep_{c}").alias(c) for c in keep])
-    return out.orderBy(F.col("position").asc_nulls_last())
+    out = d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "position", *[F.col(f"keep_{c}").alias(c) for c in keep], F.col("hash").alias("_hash"))
+    # The hash deals those not taken, which have no position, to many ranges.
+    return out.orderBy(F.col("position").asc_nulls_last(), "_hash").drop("_hash")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
