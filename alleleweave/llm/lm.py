@@ -12,10 +12,11 @@ Counts are exact and cover all training texts, and nothing of them is ever on on
    counts, to the buckets that own them by their leading bits. A frequent word or pair arrives once from
    each block, however often it occurs.
 3. Replies: a bucket adds up and sends each block the totals in the order of its request.
-4. A block has all counts of its tokens now: first for the histogram that EM needs, then for the scores.
+4. A block has all counts of its tokens now, and is written with them: read once for the histogram that EM
+   needs, and once for the scores.
 
-Two words or pairs whose 64-bit hashes are equal share their counts: of n distinct ones about
-n**2 / 2**65 pairs, 0.0001 for 55 million.
+Two words whose 64-bit hashes are equal, or pairs whose ``PAIR_BITS``-bit hashes are, share their counts: of n
+distinct pairs about n**2 / 2**57, 0.02 for 55 million.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from .common import checkpointed
 BLOCK = 1 << 21
 #: Tokens for which there is a bucket.
 BUCKET_TOKENS = 1 << 21
+#: Leading bits of a pair's hash that are kept; the rest only costs disk.
+PAIR_BITS = 56
 #: The end of a text, which is also the context of its first word: no word, as it holds a space.
 END = b" "
 #: Log2 ratios of the histogram for EM are rounded to 1/STEPS and lie within 0 .. 64, so it has at most
@@ -64,13 +67,13 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     x = before * np.uint64(0x9E3779B97F4A7C15) + after
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) & np.uint64((1 << 64) - (1 << (64 - PAIR_BITS)))
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, held, lengths, tokens, words, train) from (id, text, held)."""
     kind = docs.schema["id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else None
+    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -82,7 +85,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             words = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
             long = np.array(lengths, np.int32)
             out = [[(part << 32) + n], [ids], [held], [long.tolist()], [_pack(np.frombuffer(tokens, np.uint32))], [_pack(words)], [int(long[~np.array(held, bool)].sum())]]
-            kinds = [pa.int64(), pa.list_(id_type) if id_type else None, pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
+            kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
             batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["block", "ids", "held", "lengths", "tokens", "words", "train"])
             n, known = n + 1, {END: 0}
             tokens, ids, held, lengths = array("I"), [], [], []
@@ -104,38 +107,46 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, lengths array<int>, tokens binary, words binary, train long")
 
 
-class _Block:
-    """A block's tokens, and its distinct words and pairs in the order of their hashes."""
+class _Tokens:
+    """A block's tokens, each with the one before it, both as places in the block's list of words."""
 
-    def __init__(self, lengths, held, tokens: bytes, words: bytes) -> None:
-        self.lengths = np.array(lengths, np.int64)
-        self.held = np.array(held, bool)
+    def __init__(self, row: dict) -> None:
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.held = np.array(row["held"], bool)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        hashes, t = _unpack(words, np.uint64), _unpack(tokens, np.uint32).astype(np.int64)
         self.trained = np.repeat(~self.held, self.lengths)
+        self.word = _unpack(row["tokens"], np.uint32).astype(np.int64)
+        self.context = np.r_[0, self.word[:-1]]
+        self.context[self.starts] = 0
+
+
+class _Keys(_Tokens):
+    """Beside that, the block's distinct words and pairs in the order of their hashes."""
+
+    def __init__(self, row: dict) -> None:
+        super().__init__(row)
+        hashes = _unpack(row["words"], np.uint64)
+        self.pairs, self.pair = np.unique(pair_keys(hashes[self.context], hashes[self.word]), return_inverse=True)
         self.order = np.argsort(hashes)
         self.words = hashes[self.order]
-        rank = np.empty(len(hashes), np.int64)
-        rank[self.order] = np.arange(len(hashes))
-        self.word = rank[t]
-        before = np.r_[0, t[:-1]]
-        before[self.starts] = 0
-        self.context = rank[before]
-        self.pairs, self.pair = np.unique(pair_keys(self.words[self.context], self.words[self.word]), return_inverse=True)
 
     def requests(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for kind, keys, at in ((0, self.words, self.word), (1, self.pairs, self.pair)):
-            yield kind, keys, np.bincount(at[self.trained], minlength=len(keys)).astype(np.uint32)
+        own = np.bincount(self.word[self.trained], minlength=len(self.words))[self.order]
+        yield 0, self.words, own.astype(np.uint32)
+        yield 1, self.pairs, np.bincount(self.pair[self.trained], minlength=len(self.pairs)).astype(np.uint32)
+
+
+#: The block of rows that say how many distinct keys a bucket has.
+NO_BLOCK = -1
 
 
 def _replies(blocks: DataFrame, bits: int) -> DataFrame:
-    """(block, kind, bucket, totals); those of block -1 have the number of trained keys in ``totals``."""
+    """(block, kind, bucket, totals); those of NO_BLOCK have the number of trained keys in ``totals``."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row["lengths"], row["held"], row["tokens"], row["words"])
-                for kind, keys, counts in b.requests():
+                for kind, keys, counts in _Keys(row).requests():
                     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
                     for bucket in range(1 << bits):
                         s, e = cuts[bucket], cuts[bucket + 1]
@@ -153,21 +164,45 @@ def _replies(blocks: DataFrame, bits: int) -> DataFrame:
         total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.uint64)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         out = [{"block": r["block"], "kind": r["kind"], "bucket": r["bucket"], "totals": _pack(total[x])} for r, x in zip(rows, np.split(at, cuts))]
-        seen = int((total > 0).sum())
-        return pa.Table.from_pylist([*out, {"block": -1, "kind": rows[0]["kind"], "bucket": rows[0]["bucket"], "totals": str(seen).encode()}], schema=said)
+        seen = np.array([(total > 0).sum()], np.uint64)
+        return pa.Table.from_pylist([*out, {"block": NO_BLOCK, "kind": rows[0]["kind"], "bucket": rows[0]["bucket"], "totals": _pack(seen)}], schema=said)
 
     said = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
     requests = blocks.select("block", "lengths", "held", "tokens", "words").mapInArrow(ask, "block long, kind int, bucket int, keys binary, counts binary")
     return requests.groupBy("kind", "bucket").applyInArrow(add, "block long, kind int, bucket int, totals binary")
 
 
-def _counted(blocks: pa.Table, replies: pa.Table):
-    """For each block of the table: its row, and c(v w), c(v) and c(w) of each token."""
-    said = sorted(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist(), replies.column("totals").to_pylist()))
-    row = blocks.to_pylist()[0]
-    b = _Block(row["lengths"], row["held"], row["tokens"], row["words"])
-    totals = [np.concatenate([_unpack(t, np.uint64) for k, _, t in said if k == kind]).astype(np.int64) for kind in (0, 1)]
-    return row, b, totals[1][b.pair], totals[0][b.context], totals[0][b.word]
+def _counted(blocks: DataFrame, replies: DataFrame, kind: str) -> DataFrame:
+    """(block, ids, held, lengths, tokens, words, pairs): words has c(w) of the block's words and pairs c(v w) of its
+    tokens. In the row of NO_BLOCK tokens has the number of distinct trained words."""
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        said = sorted(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("totals").to_pylist()))
+        totals = [[_unpack(t, np.uint64) for k, _, t in said if k == wanted] for wanted in (0, 1)]
+        if not left.num_rows:
+            seen = np.array([sum(int(x[0]) for x in totals[0])], np.uint64)
+            empty = {"block": NO_BLOCK, "ids": [], "held": [], "lengths": [], "tokens": _pack(seen), "words": b"", "pairs": b""}
+            return pa.Table.from_pylist([empty], schema=out)
+        words, pairs = map(np.concatenate, totals)
+        b = _Keys(left.select(["lengths", "held", "tokens", "words"]).to_pylist()[0])
+        own = np.empty_like(words)
+        own[b.order] = words
+        more = [pa.array([_pack(x)], pa.binary()) for x in (own, pairs[b.pair])]
+        return pa.Table.from_arrays([left.column(c) for c in ("block", "ids", "held", "lengths", "tokens")] + more, schema=out)
+
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    out = pa.schema([("block", pa.int64()), ("ids", pa.list_(types.get(kind, pa.string()))), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("pairs", pa.binary())])
+    both = blocks.select("block", "ids", "held", "lengths", "tokens", "words").groupBy("block").cogroup(replies.groupBy("block"))
+    return both.applyInArrow(join, f"block long, ids array<{kind}>, held array<boolean>, lengths array<int>, tokens binary, words binary, pairs binary")
+
+
+class _Counts(_Tokens):
+    """A block with c(v w), c(v) and c(w) of each token."""
+
+    def __init__(self, row: dict) -> None:
+        super().__init__(row)
+        words = _unpack(row["words"], np.uint64).astype(np.int64)
+        self.c_pair, self.c_context, self.c_word = _unpack(row["pairs"], np.uint64).astype(np.int64), words[self.context], words[self.word]
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -210,39 +245,44 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     ids stay apart; other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("bigint", "int", "string"):
+        raise ValueError(f"ids of type {kind}")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     blocks = checkpointed(_blocks(slim))
     about = blocks.agg(F.sum("train").alias("train"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).head()
     n, tokens = about["train"] or 0, about["tokens"] or 0
-    replies = checkpointed(_replies(blocks, max(1, math.ceil(math.log2(max(2, tokens / BUCKET_TOKENS))))))
-    v = replies.where("block = -1 AND kind = 0").agg(F.sum(F.col("totals").cast("string").cast("long"))).head()[0] or 0
-    both = blocks.groupBy("block").cogroup(replies.where("block <> -1").groupBy("block"))
+    counted = checkpointed(_counted(blocks, _replies(blocks, max(1, math.ceil(math.log2(max(2, tokens / BUCKET_TOKENS))))), kind))
+    seen = counted.where(F.col("block") == NO_BLOCK).select("tokens").head()
+    v = int(_unpack(seen[0], np.uint64)[0]) if seen else 0
+    counted = counted.where(F.col("block") != NO_BLOCK)
     uniform = 1.0 / (v + 1)
 
-    def histogram(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, b, pair, context, word = _counted(left, right)
-        pair, context, word = (x[b.trained] - 1 for x in (pair, context, word))  # each occurrence is held out
-        p2 = np.where(context > 0, pair / np.maximum(context, 1), 0.0)
-        p1 = word / max(n - 1, 1)
-        cell = (context_bucket(context) * 1000 + _ratio_bin(p2 / uniform) + 1) * 1000 + _ratio_bin(p1 / uniform) + 1
-        cells, count = np.unique(cell, return_counts=True)
-        return pa.table({"bucket": cells // 1_000_000, "pair_bin": cells // 1000 % 1000 - 1, "word_bin": cells % 1000 - 1, "n": count.astype(np.int64)})
-
-    seen = both.applyInArrow(histogram, "bucket long, pair_bin long, word_bin long, n long")
-    seen = seen.groupBy("bucket", "pair_bin", "word_bin").agg(F.sum("n").alias("n"))
-    weights = learn_weights(seen.orderBy("bucket", "pair_bin", "word_bin").toPandas())
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, b, pair, context, word = _counted(left, right)
-        w = weights[context_bucket(context)]
-        p = w[:, 0] * np.where(context > 0, pair / np.maximum(context, 1), 0.0) + w[:, 1] * (word / max(n, 1)) + w[:, 2] * uniform
-        base = np.log10((word + ADDED) / (n + ADDED * (v + 1)))
-        add = lambda x: np.add.reduceat(x, b.starts)
-        ids = left.column("ids").combine_chunks().flatten()
-        return pa.table({
-            "id": ids, "held_out": pa.array(b.held), "n_tokens": b.lengths, "n_known": add((word > 0).astype(np.int64)),
-            "train_tokens": np.full(len(ids), n, np.int64), "base_score": add(base), "score": add(np.log10(p)),
-        })
-
-    out = both.applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _Counts(row)
+                pair, context, word = (x[b.trained] - 1 for x in (b.c_pair, b.c_context, b.c_word))  # each occurrence is held out
+                p2 = np.where(context > 0, pair / np.maximum(context, 1), 0.0)
+                p1 = word / max(n - 1, 1)
+                cell = (context_bucket(context) * 1000 + _ratio_bin(p2 / uniform) + 1) * 1000 + _ratio_bin(p1 / uniform) + 1
+                cells, count = np.unique(cell, return_counts=True)
+                columns = [cells // 1_000_000, cells // 1000 % 1000 - 1, cells % 1000 - 1, count]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["bucket", "pair_bin", "word_bin", "n"])
+
+    bins = counted.drop("ids").mapInArrow(histogram, "bucket long, pair_bin long, word_bin long, n long")
+    bins = bins.groupBy("bucket", "pair_bin", "word_bin").agg(F.sum("n").alias("n"))
+    weights = learn_weights(bins.orderBy("bucket", "pair_bin", "word_bin").toPandas())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                b = _Counts(row)
+                w = weights[context_bucket(b.c_context)]
+                p = w[:, 0] * np.where(b.c_context > 0, b.c_pair / np.maximum(b.c_context, 1), 0.0) + w[:, 1] * (b.c_word / max(n, 1)) + w[:, 2] * uniform
+                base = np.log10((b.c_word + ADDED) / (n + ADDED * (v + 1)))
+                add = lambda x, b=b: np.add.reduceat(x, b.starts)
+                columns = [b.held, b.lengths, add((b.c_word > 0).astype(np.int64)), np.full(len(b.held), n, np.int64), add(base), add(np.log10(p))]
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[k].values, *map(pa.array, columns)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = counted.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
