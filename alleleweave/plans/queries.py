@@ -32,7 +32,7 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 
 def _onehot(spark: SparkSession, sf: str, mode: str, wanted: tuple[str, ...]) -> DataFrame:
-    return _doubles(encode.encode_long(testbed.window(spark, sf), testbed.samples(spark, sf), _called(spark, sf, wanted), mode, len(REGION)))
+    return _doubles(encode.encode_long(testbed.window(spark, sf), testbed.samples(spark, sf), _called(spark, sf, wanted), REGION, mode))
 
 
 def vcf_scan(spark: SparkSession, sf: str) -> DataFrame:
