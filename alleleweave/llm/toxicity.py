@@ -15,21 +15,20 @@ these differences, fitted on labelled rows that the models were not trained on,
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, checkpointed
 
 #: Bound of the sample of labelled rows on which the models are fitted, half of it for each class.
 MOST_ROWS = 12_000
-#: Bound of the characters of that sample; the row that crosses it is the last.
-MOST_CHARS = 24_000_000
+#: Bound of the bytes of that sample; the row that crosses it is the last.
+MOST_BYTES = 24_000_000
 FOLDS = 2
 #: Bytes of a word's stem, to which it backs off.
 STEM = 4
@@ -48,6 +47,18 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [w for w in (x.strip(STRIP) for x in (text or b"").lower().split()) if w]
 
 
+def features(r: np.ndarray) -> np.ndarray:
+    """1, the difference per word of a whole text, and the largest of each size of window; 0 of no words."""
+    if not len(r):
+        return np.zeros(FEATURES)
+    sums = np.r_[0.0, np.cumsum(r)]
+    out = [1.0, sums[-1] / len(r)]
+    for size in WINDOWS:
+        k = min(size, len(r))
+        out.append(float((sums[k:] - sums[:-k]).max()) / size)
+    return np.array(out)
+
+
 @dataclass
 class Model:
     """log P(w | toxic) - log P(w | ordinary) for each kept word, for the rest that of the kept stem, or ``unseen``;
@@ -59,56 +70,50 @@ class Model:
     weights: np.ndarray
 
     def features(self, words: list[bytes]) -> np.ndarray:
-        """1, the difference per word of the whole text, and the largest of each size of window."""
-        if not words:
-            return np.zeros(FEATURES)
         ratio, stems, unseen = self.ratio, self.stems, self.unseen
-        r = np.fromiter((ratio[w] if w in ratio else stems.get(w[:STEM], unseen) for w in words), float, len(words))
-        sums = np.r_[0.0, np.cumsum(r)]
-        out = [1.0, sums[-1] / len(r)]
-        for size in WINDOWS:
-            k = min(size, len(r))
-            out.append(float((sums[k:] - sums[:-k]).max()) / size)
-        return np.array(out)
+        return features(np.fromiter((ratio[w] if w in ratio else stems.get(w[:STEM], unseen) for w in words), float, len(words)))
 
     def score(self, text: bytes | None) -> float:
         z = float(self.features(words_of(text)) @ self.weights) if text else float(self.weights[0])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit_ratios(texts: list[list[bytes]], toxic: list[int]) -> tuple[dict[bytes, float], dict[bytes, float], float]:
-    """Kneser-Ney models of both classes with one backoff, as log ratios."""
-    contexts: tuple[set, set] = (set(), set())
-    for words, y in zip(texts, toxic):
-        contexts[y].update(zip([b"", *words], words))
-    counts = [Counter(w for _, w in c) for c in contexts]
-    stems = [_by_stem(c) for c in counts]
-    total = [max(1, sum(c.values())) for c in counts]
-    both, both_stems = counts[0] + counts[1], stems[0] + stems[1]
-    freed = [max(sum(min(DISCOUNT, k) for k in c.values()), 0.5) / n for c, n in zip(counts, total)]
-    freed_stems = [max(sum(min(DISCOUNT, k) for k in c.values()), 0.5) / n for c, n in zip(stems, total)]
-    kinds, pairs = len(both_stems) + 1, sum(total)
-
-    def stem_p(s: bytes, y: int) -> float:
-        return max(stems[y].get(s, 0) - DISCOUNT, 0) / total[y] + freed_stems[y] * (both_stems.get(s, 0) + 1) / (pairs + kinds)
-
-    def word_ratio(w: bytes) -> float:
-        s = w[:STEM]
-        share = (both[w] + 1) / (both_stems[s] + 1)  # of the word in its stem, over both classes
-        p = [max(counts[y].get(w, 0) - DISCOUNT, 0) / total[y] + freed[y] * share * stem_p(s, y) for y in (0, 1)]
-        return math.log(p[1] / p[0])
-
-    ratio = {w: word_ratio(w) for w, n in both.items() if n >= LEAST_COUNT}
-    unseen = math.log(freed[1]) - math.log(freed[0])
-    known = {s: unseen + math.log(stem_p(s, 1) / stem_p(s, 0)) for s, n in both_stems.items() if n >= LEAST_COUNT}
-    return ratio, known, unseen + math.log(freed_stems[1]) - math.log(freed_stems[0])
+@dataclass
+class Ratios:
+    """log P(w | toxic) - log P(w | ordinary) by the number of a word and of a stem, where they are kept."""
 
+    words: np.ndarray
+    stems: np.ndarray
+    unseen: float
 
-def _by_stem(counts: Counter) -> Counter:
-    out = Counter()
-    for w, n in counts.items():
-        out[w[:STEM]] += n
-    return out
+    def of(self, stem_of: np.ndarray) -> np.ndarray:
+        """Of every word: its own, else its stem's, else ``unseen``."""
+        stems = np.where(np.isnan(self.stems), self.unseen, self.stems)
+        return np.where(np.isnan(self.words), stems[stem_of], self.words)
+
+
+def fit_ratios(texts: list[np.ndarray], toxic: list[int], stem_of: np.ndarray) -> Ratios:
+    """Kneser-Ney models of both classes. Texts are numbers of words; 0 is no word but what stands before the first."""
+    n = len(stem_of)
+    counts = np.zeros((2, n))
+    for y in (0, 1):
+        own = [np.r_[0, t[:-1]] * n + t for t, z in zip(texts, toxic) if z == y and len(t)]
+        if own:
+            counts[y] = np.bincount(np.unique(np.concatenate(own)) % n, minlength=n)
+    stems = np.stack([np.bincount(stem_of, c) for c in counts])
+    total = np.maximum(counts.sum(1), 1)[:, None]
+    freed = np.maximum(np.minimum(counts, DISCOUNT).sum(1), 0.5)[:, None] / total
+    freed_stems = np.maximum(np.minimum(stems, DISCOUNT).sum(1), 0.5)[:, None] / total
+    both, both_stems = counts.sum(0), stems.sum(0)
+    p_stem = np.maximum(stems - DISCOUNT, 0) / total + freed_stems * (both_stems + 1) / (total.sum() + len(both_stems) + 1)
+    share = (both + 1) / (both_stems[stem_of] + 1)  # of a word in its stem, over both classes
+    p_word = np.maximum(counts - DISCOUNT, 0) / total + freed * share * p_stem[:, stem_of]
+    unseen = float(np.log(freed[1, 0] / freed[0, 0]))
+    return Ratios(
+        np.where(both >= LEAST_COUNT, np.log(p_word[1] / p_word[0]), np.nan),
+        np.where(both_stems >= LEAST_COUNT, unseen + np.log(p_stem[1] / p_stem[0]), np.nan),
+        unseen + float(np.log(freed_stems[1, 0] / freed_stems[0, 0])),
+    )
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
@@ -137,19 +142,24 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 def fit(texts: list[bytes | None], toxic: list[int], share: float | None = None) -> Model:
     """The scale is learned on rows whose words were left out of the models, in ``FOLDS`` folds. ``share`` of all
     labels is toxic; the rows are weighed so that they are, too."""
-    words = [words_of(t) for t in texts]
+    known: dict[bytes, int] = {b"": 0}
+    numbers = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), np.int64) for t in texts]
+    stem_number: dict[bytes, int] = {}
+    stem_of = np.fromiter((stem_number.setdefault(w[:STEM], len(stem_number)) for w in known), np.int64, len(known))
     x, y = [], []
     for k in range(FOLDS):
-        rest = [i for i in range(len(words)) if i % FOLDS != k]
-        part = Model(*fit_ratios([words[i] for i in rest], [toxic[i] for i in rest]), np.zeros(FEATURES))
-        for i in range(k, len(words), FOLDS):
-            if words[i]:
-                x.append(part.features(words[i]))
+        rest = [i for i in range(len(texts)) if i % FOLDS != k]
+        r = fit_ratios([numbers[i] for i in rest], [toxic[i] for i in rest], stem_of).of(stem_of)
+        for i in range(k, len(texts), FOLDS):
+            if len(numbers[i]):
+                x.append(features(r[numbers[i]]))
                 y.append(toxic[i])
     own = sum(y) / max(1, len(y))
     weigh = lambda v: 1.0 if share is None else share / own if v else (1 - share) / (1 - own)
     weights = logistic(np.array(x).reshape(-1, FEATURES), np.array(y, float), np.array([weigh(v) for v in y])) if 0 < sum(y) < len(y) else np.r_[-3.0 if not sum(y) else 3.0, np.zeros(FEATURES - 1)]
-    return Model(*fit_ratios(words, toxic), weights)
+    whole = fit_ratios(numbers, toxic, stem_of)
+    kept = lambda names, r: {w: float(v) for w, v in zip(names, r) if not np.isnan(v)}
+    return Model(kept(known, whole.words), kept(stem_number, whole.stems), whole.unseen, weights)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[list[bytes | None], list[int], float | None]:
@@ -165,15 +175,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column | None
     picked = [rows.where(F.col("y") == y).orderBy(order, "id").limit(most_rows // 2) for y in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most most_rows rows of two numbers
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(chosen, "id")
-    found = checkpointed(found.withColumn("o", order).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))).orderBy("o", "size", "text")
-    texts, toxic, chars = [], [], 0
-    for row in found.select("text", "y", "size").limit(2 * most_rows).toLocalIterator():
-        if chars > MOST_CHARS:
-            break
-        texts.append(bytes(row["text"]) if row["text"] is not None else None)
-        toxic.append(int(row["y"]))
-        chars += row["size"]
-    return texts, toxic, share
+    found = checkpointed(found.select("text", "y", order.alias("o"), F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("h")))
+    # Bounded before it is sent: the window covers the sample's sizes, not its texts.
+    ahead = Window.orderBy("o", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.select("o", "size", "h").withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    last = sizes.where(F.col("ahead") < MOST_BYTES).agg(F.max(F.struct("o", "size", "h"))).head()[0]
+    if last is None:
+        return [], [], share
+    found = found.where(F.struct("o", "size", "h") <= F.struct(*[F.lit(v).cast(t) for v, t in zip(last, ("long", "int", "long"))]))
+    got = sorted(found.select("o", "size", "h", "text", "y").collect(), key=lambda r: r[:3])
+    return [None if r["text"] is None else bytes(r["text"]) for r in got], [int(r["y"]) for r in got], share
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
