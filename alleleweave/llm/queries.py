@@ -20,8 +20,9 @@ URL_RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Sites that the filter lists beside the rules.
-LISTED_SITES = ("spam-farm.example.org", "cheap-pills.example.com")
+#: Names of sites that the filter lists beside the rules, each under three domains.
+LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_SITES = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
 
 
 def remainder(id_col: str, by: int) -> Column:
