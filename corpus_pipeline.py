@@ -32,8 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, five-word shingles, the document with the least doc_id stays."""
-    groups = simhash.near_groups(docs.select("doc_id", "text"), shingle=3)
+    """Of each group of near-duplicates, by five-word shingles, the document with the least doc_id stays."""
+    groups = simhash.near_groups(docs.select("doc_id", "text"), shingle=5)
     stay = groups.where("doc_id <=> component_id").select("doc_id").distinct()
     return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi")
 
@@ -47,9 +47,10 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and whether the ids decode to the text."""
     import public_tokenizers
 
-    both = docs.select(F.struct("doc_id", "text").alias("doc"), F.col("text"))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    both = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc"), "text")
     t = bpe.encode(both, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, "doc", "text", decoded=True)
-    same = F.col("decoded") == F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")
+    same = F.col("doc.digest") == F.xxhash64("decoded")
     return t.select("doc.doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 

@@ -117,11 +117,11 @@ def test_bpe_decode(spark, docs):
 # 2. SimHash
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, k=3):
     words = [w for w in re.split("[\x20\x09-\x0d]+", ascii_lower(text)) if w]
     if not words:
         return 0
-    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
     h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -535,7 +535,7 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in cut.collect())
     near = p.drop_near_copies(spark, cut, SF).cache()
     rows = sorted((r["doc_id"], r["text"]) for r in cut.collect())
-    comp = slow_components([slow_fingerprint(t) for _, t in rows])
+    comp = slow_components([slow_fingerprint(t, 5) for _, t in rows])
     first = {}
     for (i, _), c in zip(rows, comp):
         first.setdefault(c, i)
