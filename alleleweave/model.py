@@ -15,7 +15,7 @@ SAMPLES = "sample_idx int, sample_id string"
 
 def one_of(value: str, known, what: str) -> str:
     if value not in known:
-        raise ValueError(f"Unsupported {what}: {value!r}; expected one of {', '.join(known)}")
+        raise ValueError(f"{what} {value!r} is none of {', '.join(known)}")
     return value
 
 
