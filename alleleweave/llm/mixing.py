@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of the shuffled order of each source: the first hex digits of the order's hash.
-BUCKET_DIGITS = 2
+BUCKET_DIGITS = 3
 #: A source's name that is never null and so joins.
 KEY = "coalesce(concat('s', source), '')"
 
