@@ -107,24 +107,25 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, lengths array<int>, tokens binary, words binary, train long")
 
 
-class _Tokens:
-    """A block's tokens, each with the one before it, both as places in the block's list of words."""
+class _Texts:
+    """Where a block's texts begin, and which of its tokens are trained on."""
 
     def __init__(self, row: dict) -> None:
         self.lengths = np.array(row["lengths"], np.int64)
         self.held = np.array(row["held"], bool)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.trained = np.repeat(~self.held, self.lengths)
-        self.word = _unpack(row["tokens"], np.uint32).astype(np.int64)
-        self.context = np.r_[0, self.word[:-1]]
-        self.context[self.starts] = 0
 
 
-class _Keys(_Tokens):
-    """Beside that, the block's distinct words and pairs in the order of their hashes."""
+class _Keys(_Texts):
+    """Beside that, each token and the one before it, as places in the block's list of words, and the distinct words
+    and pairs in the order of their hashes."""
 
     def __init__(self, row: dict) -> None:
         super().__init__(row)
+        self.word = _unpack(row["tokens"], np.uint32).astype(np.int64)
+        self.context = np.r_[0, self.word[:-1]]
+        self.context[self.starts] = 0  # END
         hashes = _unpack(row["words"], np.uint64)
         self.pairs, self.pair = np.unique(pair_keys(hashes[self.context], hashes[self.word]), return_inverse=True)
         self.order = np.argsort(hashes)
@@ -173,36 +174,37 @@ def _replies(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def _counted(blocks: DataFrame, replies: DataFrame, kind: str) -> DataFrame:
-    """(block, ids, held, lengths, tokens, words, pairs): words has c(w) of the block's words and pairs c(v w) of its
-    tokens. In the row of NO_BLOCK tokens has the number of distinct trained words."""
+    """(block, ids, held, lengths, words, pairs): c(w) and c(v w) of each of the block's tokens. In the row of NO_BLOCK
+    words has the number of distinct trained words."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         said = sorted(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("totals").to_pylist()))
         totals = [[_unpack(t, np.uint64) for k, _, t in said if k == wanted] for wanted in (0, 1)]
         if not left.num_rows:
             seen = np.array([sum(int(x[0]) for x in totals[0])], np.uint64)
-            empty = {"block": NO_BLOCK, "ids": [], "held": [], "lengths": [], "tokens": _pack(seen), "words": b"", "pairs": b""}
-            return pa.Table.from_pylist([empty], schema=out)
+            return pa.Table.from_pylist([{"block": NO_BLOCK, "ids": [], "held": [], "lengths": [], "words": _pack(seen), "pairs": b""}], schema=out)
         words, pairs = map(np.concatenate, totals)
         b = _Keys(left.select(["lengths", "held", "tokens", "words"]).to_pylist()[0])
         own = np.empty_like(words)
         own[b.order] = words
-        more = [pa.array([_pack(x)], pa.binary()) for x in (own, pairs[b.pair])]
-        return pa.Table.from_arrays([left.column(c) for c in ("block", "ids", "held", "lengths", "tokens")] + more, schema=out)
+        counts = [pa.array([_pack(x)], pa.binary()) for x in (own[b.word], pairs[b.pair])]
+        return pa.Table.from_arrays([left.column(c) for c in ("block", "ids", "held", "lengths")] + counts, schema=out)
 
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    out = pa.schema([("block", pa.int64()), ("ids", pa.list_(types.get(kind, pa.string()))), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("pairs", pa.binary())])
+    out = pa.schema([("block", pa.int64()), ("ids", pa.list_(types[kind])), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("words", pa.binary()), ("pairs", pa.binary())])
     both = blocks.select("block", "ids", "held", "lengths", "tokens", "words").groupBy("block").cogroup(replies.groupBy("block"))
-    return both.applyInArrow(join, f"block long, ids array<{kind}>, held array<boolean>, lengths array<int>, tokens binary, words binary, pairs binary")
+    return both.applyInArrow(join, f"block long, ids array<{kind}>, held array<boolean>, lengths array<int>, words binary, pairs binary")
 
 
-class _Counts(_Tokens):
-    """A block with c(v w), c(v) and c(w) of each token."""
+class _Counts(_Texts):
+    """A block with c(v w), c(v) and c(w) of each token. A context's count is that of the token before; the first
+    word's context is END, which is every text's last token."""
 
     def __init__(self, row: dict) -> None:
         super().__init__(row)
-        words = _unpack(row["words"], np.uint64).astype(np.int64)
-        self.c_pair, self.c_context, self.c_word = _unpack(row["pairs"], np.uint64).astype(np.int64), words[self.context], words[self.word]
+        self.c_word, self.c_pair = (_unpack(row[c], np.uint64).astype(np.int64) for c in ("words", "pairs"))
+        self.c_context = np.r_[0, self.c_word[:-1]]
+        self.c_context[self.starts] = self.c_word[-1]
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -252,7 +254,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     about = blocks.agg(F.sum("train").alias("train"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).head()
     n, tokens = about["train"] or 0, about["tokens"] or 0
     counted = checkpointed(_counted(blocks, _replies(blocks, max(1, math.ceil(math.log2(max(2, tokens / BUCKET_TOKENS))))), kind))
-    seen = counted.where(F.col("block") == NO_BLOCK).select("tokens").head()
+    seen = counted.where(F.col("block") == NO_BLOCK).select("words").head()
     v = int(_unpack(seen[0], np.uint64)[0]) if seen else 0
     counted = counted.where(F.col("block") != NO_BLOCK)
     uniform = 1.0 / (v + 1)
