@@ -256,12 +256,10 @@ def slow_lm(rows, held):
 
 @pytest.mark.parametrize("block", [1 << 21, 50])
 def test_lm_counts_and_scores_equal_brute_force(docs, block, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK", block)
-    monkeypatch.setattr(lm, "BUCKET_TOKENS", block)
     learned = []
     learn = lm.learn_weights
     monkeypatch.setattr(lm, "learn_weights", lambda h: learned.append(learn(h)) or learned[-1])
-    got = lm.lm_scores(docs, queries.remainder("doc_id", 10) == 0).collect()
+    got = lm.lm_scores(docs, queries.remainder("doc_id", 10) == 0, block_tokens=block, bucket_tokens=block).collect()
     rows = rows_of(docs)
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows]
     toks, uni, pair, n, v = slow_lm(rows, held)
@@ -545,3 +543,17 @@ def test_pipeline_stages_equal_brute_force(spark):
     tokens = p.tokenize(spark, mixed, SF)
     assert tokens.count() == mixed.count() and tokens.where("NOT round_trip").count() == 0
     assert Counter(r["doc_id"] for r in p.run(spark, SF).collect()) == Counter(r["doc_id"] for r in mixed.collect())
+
+
+def test_pipeline_stages_take_empty_tables_and_nulls(spark):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (None, "no id", "en", None, 5), (2, "", None, "s", 0), (3, "two words", "en", "s", 9), (3, "two words", "en", "s", 9)]
+    for docs in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
+        n = docs.count()
+        for name, stage in p.STAGES:
+            docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
+            if name != "bpe":
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+            assert docs.count() >= (n > 0) and (n or not docs.count()), name
