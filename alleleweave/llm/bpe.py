@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Matches whose ids a Python worker remembers, in about 200 bytes each. It only saves time.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: A rank file larger than this is refused, as it is broadcast.
 MOST_BYTES = 16 << 20
 
