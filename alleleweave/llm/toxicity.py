@@ -28,7 +28,7 @@ from .common import BROADCAST_BYTES, checkpointed
 #: Bound of the sample of labelled rows on which the models are fitted, half of it for each class.
 MOST_ROWS = 12_000
 #: Bound of the bytes of that sample; the row that crosses it is the last.
-MOST_BYTES = 24_000_000
+MOST_BYTES = 16_000_000
 FOLDS = 2
 #: Bytes of a word's stem, to which it backs off.
 STEM = 4
