@@ -8,15 +8,18 @@ held out of the counts that predict it.
 Counts are exact and cover all training texts, and nothing of them is ever on one machine:
 
 1. Blocks: texts become blocks of up to ``BLOCK`` tokens, each with a list of its words' hashes.
-2. Requests: a block sends its distinct words and word pairs, as sorted 64-bit hashes with its own
+2. Requests: a block sends its distinct words and word pairs, as sorted hashes with its own
    counts, to the buckets that own them by their leading bits. A frequent word or pair arrives once from
    each block, however often it occurs.
 3. Replies: a bucket adds up and sends each block the totals in the order of its request.
 4. A block has all counts of its tokens now, and is written with them: read once for the histogram that EM
    needs, and once for the scores.
 
-Two words whose 64-bit hashes are equal, or pairs whose ``PAIR_BITS``-bit hashes are, share their counts: of n
-distinct pairs about n**2 / 2**57, 0.02 for 55 million.
+Two words or pairs whose ``HASH_BITS``-bit hashes are equal share their counts: of n distinct ones about
+n**2 / 2**57, 0.02 for 55 million.
+
+A request takes a row for each block and bucket, so larger inputs want larger blocks and buckets, as executors'
+memory allows: about 100 bytes for each token of a block or bucket.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ from .common import checkpointed
 BLOCK = 1 << 21
 #: Tokens for which there is a bucket.
 BUCKET_TOKENS = 1 << 21
-#: Leading bits of a pair's hash that are kept; the rest only costs disk.
-PAIR_BITS = 56
+#: Leading bits of a hash that are kept; the rest only costs disk.
+HASH_BITS = 56
+KEPT = np.uint64((1 << 64) - (1 << (64 - HASH_BITS)))
 #: The end of a text, which is also the context of its first word: no word, as it holds a space.
 END = b" "
 #: Log2 ratios of the histogram for EM are rounded to 1/STEPS and lie within 0 .. 64, so it has at most
@@ -52,9 +56,9 @@ LEAST_WEIGHT = 1e-6
 ADDED = 0.1
 
 
-def _pack(x: np.ndarray) -> bytes:
+def _pack(x: np.ndarray, level: int = 1) -> bytes:
     """Bytes of equal weight stand together, which helps the compressor."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
@@ -67,11 +71,11 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     x = before * np.uint64(0x9E3779B97F4A7C15) + after
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) & np.uint64((1 << 64) - (1 << (64 - PAIR_BITS)))
+    return (x ^ (x >> np.uint64(31))) & KEPT
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, held, lengths, tokens, words, train) from (id, text, held)."""
+def _blocks(docs: DataFrame, size: int) -> DataFrame:
+    """(block, ids, held, lengths, tokens, words, train) from (id, text, held), in blocks of about ``size`` tokens."""
     kind = docs.schema["id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
@@ -82,9 +86,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             nonlocal n, known, tokens, ids, held, lengths
-            words = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+            words = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known)) & KEPT
             long = np.array(lengths, np.int32)
-            out = [[(part << 32) + n], [ids], [held], [long.tolist()], [_pack(np.frombuffer(tokens, np.uint32))], [_pack(words)], [int(long[~np.array(held, bool)].sum())]]
+            out = [[(part << 32) + n], [ids], [held], [long.tolist()], [_pack(np.frombuffer(tokens, np.uint32), 3)], [_pack(words)], [int(long[~np.array(held, bool)].sum())]]
             kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
             batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["block", "ids", "held", "lengths", "tokens", "words", "train"])
             n, known = n + 1, {END: 0}
@@ -99,7 +103,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 ids.append(i.as_py())
                 held.append(h.as_py())
                 lengths.append(len(words) + 1)
-                if len(tokens) >= BLOCK:
+                if len(tokens) >= size:
                     yield block()
         if ids:
             yield block()
@@ -238,7 +242,7 @@ def learn_weights(histogram: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per row of ``docs``: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows for which ``held_out`` is not true. Null and empty texts are one end token. base_score is
@@ -250,10 +254,10 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     if kind not in ("bigint", "int", "string"):
         raise ValueError(f"ids of type {kind}")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    blocks = checkpointed(_blocks(slim))
+    blocks = checkpointed(_blocks(slim, block_tokens))
     about = blocks.agg(F.sum("train").alias("train"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).head()
     n, tokens = about["train"] or 0, about["tokens"] or 0
-    counted = checkpointed(_counted(blocks, _replies(blocks, max(1, math.ceil(math.log2(max(2, tokens / BUCKET_TOKENS))))), kind))
+    counted = checkpointed(_counted(blocks, _replies(blocks, max(1, math.ceil(math.log2(max(2, tokens / bucket_tokens))))), kind))
     seen = counted.where(F.col("block") == NO_BLOCK).select("words").head()
     v = int(_unpack(seen[0], np.uint64)[0]) if seen else 0
     counted = counted.where(F.col("block") != NO_BLOCK)
