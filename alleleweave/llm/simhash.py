@@ -44,21 +44,29 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text, 0 if it has no words."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in their order; of a shorter text, of all its words."""
     words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     k = min(shingle, len(words))
-    n = len(words) - k + 1
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for start in range(0, n, CHUNK):
-        part = words[start : start + CHUNK + k - 1]
-        grams = map(b" ".join, zip(*(part[i:] for i in range(k))))
-        h = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(k))))
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(words) - k + 1)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of shingles' hashes, 0 if there are none."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        h = hashes[start : start + CHUNK]
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text, 0 if it has no words."""
+    return folded(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

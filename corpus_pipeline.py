@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alleleweave.llm import bpe, lines, mixing, simhash, toxicity
+from alleleweave.llm import bpe, lines, mixing, shingles, toxicity
 from alleleweave.llm.queries import VOCABULARY, read_table, remainder
 
 #: No SQL: the model of toxicity, the fingerprints and the tokenizer are beyond it; tests compare with brute force.
@@ -32,8 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, by five-word shingles, the document with the least doc_id stays."""
-    groups = simhash.near_groups(docs.select("doc_id", "text"), shingle=5)
+    """Of each group of near-duplicates, five-word shingles alike to 0.8, the document with the least doc_id stays."""
+    groups = shingles.similar_groups(docs.select("doc_id", "text"))
     stay = groups.where("doc_id <=> component_id").select("doc_id").distinct()
     return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi")
 

@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from alleleweave.llm import ann, bpe, components, exact, licenses, lines, lm, mixing, queries, simhash, toxicity, urls
+from alleleweave.llm import ann, bpe, components, exact, licenses, lines, lm, mixing, queries, shingles, simhash, toxicity, urls
 
 PATH = public_tokenizers.path(queries.VOCABULARY)
 PATTERN = public_tokenizers.PATTERN
@@ -545,6 +545,59 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert Counter(r["doc_id"] for r in p.run(spark, SF).collect()) == Counter(r["doc_id"] for r in mixed.collect())
 
 
+def slow_jaccard_groups(rows):
+    """The least id of each group of ``rows`` (id, text) by brute force, and the number of links between distinct texts."""
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+    sets = [grams(t) for _, t in rows]
+    inside, n_links, root = defaultdict(list), 0, list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        common = Counter(j for g in s for j in inside[g])
+        if not s:
+            common = Counter(j for j in range(i) if not sets[j])
+        for j, c in common.items():
+            if sets[j] == s or c >= 0.8 * (len(s) + len(sets[j]) - c):
+                n_links += sets[j] != s
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for g in s:
+            inside[g].append(i)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return sorted((i, least[find(k)]) for k, (i, _) in enumerate(rows)), n_links
+
+
+def test_near_dedup_equals_brute_force_jaccard(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(7)
+    base = [f"w{r.randrange(10_000)}" for _ in range(120)]
+    edited = lambda n: [r.choice(["alpha", "beta", "gamma"]) + str(r.randrange(10_000)) if k in at else w for at in [set(r.sample(range(120), n))] for k, w in enumerate(base)]
+    texts = [" ".join(edited(n % 7)) for n in range(150)]  # 0 to 6 changed words: from the same to far below 0.8
+    texts += ["  ".join(f"x{k + j}" for j in range(60)) for k in range(0, 40, 2)]  # a chain: only neighbours are alike
+    texts += ["the same passage of ten words stands in each one " + " ".join(f"u{r.randrange(99999)}" for _ in range(30)) for _ in range(60)]
+    texts += ["Short one", "short  ONE", "short", "", " ", None]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for table in (docs, spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")):
+        rows = sorted((x["doc_id"], x["text"]) for x in table.collect()) if table is not docs else sorted(rows)
+        want, n_links = slow_jaccard_groups(rows)
+        assert n_links >= 5
+        assert sorted(x["doc_id"] for x in p.drop_near_copies(spark, table, SF).collect()) == sorted({c for _, c in want})
+        assert sorted((x["doc_id"], x["component_id"]) for x in shingles.similar_groups(table).collect()) == want
+
+
 def test_pipeline_stages_take_empty_tables_and_nulls(spark):
     import corpus_pipeline as p
 
