@@ -54,17 +54,8 @@ def position(u: Column, ramp: Column) -> Column:
     return F.when(F.abs(ramp) < 1e-9, u).otherwise((root - (1 - ramp)) / (2 * ramp))
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, times, position, and ``keep``.
-
-    size counts words (null text: 0). A document is taken whole, ``times`` times; pass c of a source takes
-    it if the middle of its words, counted from c source sizes on, lies before the target, so a source
-    misses its target by half a document at most. The shuffled order is by MD5 of the id, then id, size
-    and source; rows equal in all of these are interchangeable, so reruns agree. A null id has an order
-    like any other; a null source is a source of its own. Documents without words take part with 0
-    words. position is the time in 0..1 of the first pass, null if not taken. The rows are range-sorted
-    by position, those not taken last. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, weights, share: float, most: float, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """A row for each of ``docs``, in no order: doc_id, size, source_size, target, ramp, hash, middle, times, and keep_*."""
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -82,19 +73,40 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     d = d.join(plan, ["key", "bucket"])  # dealt out as for the window: only the plan moves
     middle = F.col("offset") + F.col("within") + F.col("size") / 2.0
     times = sum((F.when(middle + F.col("source_size") * c < F.col("target"), 1).otherwise(0) for c in range(int(most + 1))), F.lit(0))
-    d = d.withColumn("times", times.cast("long"))
-    d = d.withColumn("position", F.when(F.col("times") > 0, position(middle / F.col("target"), F.col("ramp"))))
+    return d.withColumn("middle", middle).withColumn("times", times.cast("long"))
+
+
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, times, position, and ``keep``.
+
+    size counts words (null text: 0). A document is taken whole, ``times`` times; pass c of a source takes
+    it if the middle of its words, counted from c source sizes on, lies before the target, so a source
+    misses its target by half a document at most. The shuffled order is by MD5 of the id, then id, size
+    and source; rows equal in all of these are interchangeable, so reruns agree. A null id has an order
+    like any other; a null source is a source of its own. Documents without words take part with 0
+    words. position is the time in 0..1 of the first pass, null if not taken. The rows are range-sorted
+    by position, those not taken last. An empty table gives an empty result.
+    """
+    d = _placed(docs, weights, share, most, id_col, text_col, source_col, keep)
+    d = d.withColumn("position", F.when(F.col("times") > 0, position(F.col("middle") / F.col("target"), F.col("ramp"))))
     out = d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "position", *[F.col(f"keep_{c}").alias(c) for c in keep], F.col("hash").alias("_hash"))
     # The hash deals those not taken, which have no position, to many ranges.
     return out.orderBy(F.col("position").asc_nulls_last(), "_hash").drop("_hash")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, range-sorted by position; same columns.
+def passes(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each time that the mix takes a row of ``docs``: doc_id, pass (0, 1, ...), position, and ``keep``.
 
-    The second pass stands behind the first by one source size of demand.
+    Each pass has a time of its own, at which demand reaches the middle of the document's words counted from pass
+    source sizes on. The rows are range-sorted by position.
     """
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken", "times", "position"))
-    out = mix(docs, keep=extra, **options).where("times > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return out.select(docs.columns)
+    d = _placed(docs, weights, share, most, id_col, text_col, source_col, keep).where("times > 0")
+    d = d.withColumn("pass", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))))
+    u = (F.col("middle") + F.col("pass") * F.col("source_size")) / F.col("target")
+    out = d.select("doc_id", "pass", position(u, F.col("ramp")).alias("position"), *[F.col(f"keep_{c}").alias(c) for c in keep], F.col("hash").alias("_hash"))
+    return out.orderBy("position", "_hash", "pass").drop("_hash")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, range-sorted by the position of each pass; same columns."""
+    return passes(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "pass", "position")), **options).select(docs.columns)

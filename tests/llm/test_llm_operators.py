@@ -463,6 +463,30 @@ def test_mixed_documents_repeat_rows(docs):
     assert Counter(r["doc_id"] for r in out.collect()) == +times
 
 
+def test_each_pass_has_its_own_position(docs):
+    plan = {g["doc_id"]: g for g in mixing.mix(docs).collect()}
+    rows = mixing.passes(docs).collect()
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+    sizes = {g["source_size"]: g["target"] for g in plan.values()}
+    assert any(t > s for s, t in sizes.items())
+    at = defaultdict(list)
+    for r in rows:
+        if r["doc_id"] not in (None, 5):  # ids of one row only
+            at[r["doc_id"]].append((r["pass"], r["position"]))
+    ramps = {r["source_size"]: r["ramp"] for r in mixing.target_words(docs.sparkSession.createDataFrame([(g, s) for g, s in {(d["source"], plan[d["doc_id"]]["source_size"]) for d in docs.collect() if d["doc_id"] not in (None, 5)}], "source string, source_size long")).collect()}
+    demand = lambda p, ramp: p * (1 - ramp) + ramp * p * p
+    for i, found in at.items():
+        g = plan[i]
+        assert sorted(c for c, _ in found) == list(range(g["times"]))
+        first = dict(found)[0]
+        for c, p in found:
+            ramp = ramps[g["source_size"]]
+            assert abs((demand(p, ramp) - demand(first, ramp)) * g["target"] - c * g["source_size"]) < 1e-6
+    order = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
+    assert order == [r["doc_id"] for r in rows]
+    assert any(order[k] != order[k + 1] for k in range(len(order) - 1) if plan[order[k]]["times"] == 2)
+
+
 # 10. Licenses
 
 
