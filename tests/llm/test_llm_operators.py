@@ -284,13 +284,49 @@ def test_lm_is_better_than_the_base_on_held_out_texts(spark):
 def test_em_recovers_weights():
     import pandas as pd
 
-    p = np.array([[4, 2], [-1, 3], [6, -1], [-1, -1]])
+    p = np.array([[4.0, 2.0], [0.0, 0.3], [6.5, 0.0], [0.0, 0.0]])
     w = np.array([0.6, 0.3, 0.1])
-    like = np.where(p < 0, 0, 2.0 ** (p / lm.STEPS)) @ w[:2] + w[2]
-    h = pd.DataFrame({"bucket": 3, "pair_bin": p[:, 0], "word_bin": p[:, 1], "n": 1.0})
+    h = pd.DataFrame({"bucket": 3, "pair": p[:, 0], "word": p[:, 1], "n": 1.0})
     got = lm.learn_weights(h)[3]
-    best = lambda x: (np.log(np.where(p < 0, 0, 2.0 ** (p / lm.STEPS)) @ x[:2] + x[2])).sum()
-    assert best(got) >= np.log(like).sum() - 1e-3
+    best = lambda x: np.log(p @ x[:2] + x[2]).sum()
+    assert best(got) >= best(w) - 1e-3
+
+
+def test_weights_equal_em_on_raw_ratios(spark, monkeypatch):
+    learned = []
+    learn = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda h: learned.append(learn(h)) or learned[-1])
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    lm.lm_scores(d, queries.remainder("doc_id", 10) == 0).count()
+    rows = [(r["doc_id"], r["text"], None) for r in d.collect()]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows]
+    toks, uni, pair, n, v = slow_lm(rows, held)
+    by = defaultdict(list)
+    for t, h in zip(toks, held):
+        if not h:
+            for a, b in zip([None, *t], t):
+                c = uni[a] - 1
+                by[0 if c == 0 else 1 + int(math.log2(c))].append(((pair[a, b] - 1) / c * (v + 1) if c else 0.0, (uni[b] - 1) / (n - 1) * (v + 1), 1.0))
+    assert sum(0 < x[1] < 1 for xs in by.values() for x in xs) > 0.05 * n  # below the uniform
+    for k, xs in by.items():
+        p, w = np.array(xs).T, np.full(3, 1 / 3)
+        for _ in range(lm.ROUNDS):
+            mixed = w[:, None] * p
+            w = (mixed / mixed.sum(0)).sum(1) / p.shape[1]
+        assert np.abs(learned[0][k] - w).max() < (0.01 if len(xs) > 100 else 0.1), k
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_lm_splits_long_texts_across_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 64)
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n)) for n in (3000, 0, 1, 900, 7, 14)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    whole, cut = ({x["doc_id"]: x for x in lm.lm_scores(d, F.col("doc_id") == 3, block_tokens=b, bucket_tokens=64).collect()} for b in (1 << 20, block))
+    for k, t in enumerate(texts):
+        assert cut[k][:5] == whole[k][:5] and cut[k]["n_tokens"] == len(t.split()) + 1
+        assert all(math.isclose(cut[k][c], whole[k][c], abs_tol=1e-6) for c in ("base_score", "score"))
+    assert b"".join(lm.pieces(texts[0].encode(), 64)) == texts[0].encode()
 
 
 def test_lm_without_training_rows(spark):
