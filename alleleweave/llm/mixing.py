@@ -14,9 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of the shuffled order of each source: the first hex digits of the order's hash.
 BUCKET_DIGITS = 3
+#: Bytes of text, about, in a range of positions of the mixed documents.
+RANGE_BYTES = 32 << 20
 #: A source's name that is never null and so joins.
 KEY = "coalesce(concat('s', source), '')"
 
@@ -28,7 +32,8 @@ def target_words(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most:
     all words, by weight; no target exceeds ``most`` times its source, and what that frees is dealt out
     again by weight. That ends where a level L gives min(weight * L, cap) to each source, and the sum of
     these is the share: with sources in order of cap/weight, the first k are capped, and L is what is
-    left over the weight that is left, for the least k at which the next source stays below its cap. The window covers one row for each source, not documents.
+    left over the weight that is left, for the least k at which the next source stays below its cap. The
+    window covers one row for each source, not documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
@@ -54,15 +59,20 @@ def position(u: Column, ramp: Column) -> Column:
     return F.when(F.abs(ramp) < 1e-9, u).otherwise((root - (1 - ramp)) / (2 * ramp))
 
 
-def _placed(docs: DataFrame, weights, share: float, most: float, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """A row for each of ``docs``, in no order: doc_id, size, source_size, target, ramp, hash, middle, times, and keep_*."""
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """(doc_id, source, size, hash, bucket, key, *more): all that the mix is decided on, without texts, computed once."""
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"),
-        *[F.col(c).alias(f"keep_{c}") for c in keep],
-    ).withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).withColumn("key", F.expr(KEY))
+        *more,
+    )
+    return checkpointed(d.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).withColumn("key", F.expr(KEY)))
+
+
+def _placed(d: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """``d`` from :func:`_slim`, in no order, with source_size, target, middle, times and positions."""
     buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("source", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
@@ -72,41 +82,61 @@ def _placed(docs: DataFrame, weights, share: float, most: float, id_col: str, te
     d = d.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(plan, ["key", "bucket"])  # dealt out as for the window: only the plan moves
     middle = F.col("offset") + F.col("within") + F.col("size") / 2.0
-    times = sum((F.when(middle + F.col("source_size") * c < F.col("target"), 1).otherwise(0) for c in range(int(most + 1))), F.lit(0))
-    return d.withColumn("middle", middle).withColumn("times", times.cast("long"))
+    at = [middle + F.col("source_size") * c for c in range(int(most + 1))]
+    positions = F.filter(F.array(*[F.when(x < F.col("target"), position(x / F.col("target"), F.col("ramp"))) for x in at]), lambda x: x.isNotNull())
+    return d.withColumn("positions", positions).withColumn("times", F.size("positions").cast("long"))
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, times, position, and ``keep``.
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, times, positions.
 
     size counts words (null text: 0). A document is taken whole, ``times`` times; pass c of a source takes
     it if the middle of its words, counted from c source sizes on, lies before the target, so a source
-    misses its target by half a document at most. The shuffled order is by MD5 of the id, then id, size
-    and source; rows equal in all of these are interchangeable, so reruns agree. A null id has an order
-    like any other; a null source is a source of its own. Documents without words take part with 0
-    words. position is the time in 0..1 of the first pass, null if not taken. The rows are range-sorted
-    by position, those not taken last. An empty table gives an empty result.
+    misses its target by half a document at most. positions are the times in 0..1 at which the source's demand reaches
+    that middle, one for each pass: the passes of a document lie one source size of demand apart. The shuffled order is by
+    MD5 of the id, then id, size and source; rows equal in all of these are interchangeable, so reruns agree. A null id has an
+    order like any other; a null source is a source of its own. Documents without words take part with 0
+    words. The rows are range-sorted by their first position, those not taken last. Other columns are ignored. An
+    empty table gives an empty result.
     """
-    d = _placed(docs, weights, share, most, id_col, text_col, source_col, keep)
-    d = d.withColumn("position", F.when(F.col("times") > 0, position(F.col("middle") / F.col("target"), F.col("ramp"))))
-    out = d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "position", *[F.col(f"keep_{c}").alias(c) for c in keep], F.col("hash").alias("_hash"))
+    d = _placed(_slim(docs, id_col, text_col, source_col), weights, share, most)
+    out = d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "positions", F.col("hash").alias("_hash"))
     # The hash deals those not taken, which have no position, to many ranges.
-    return out.orderBy(F.col("position").asc_nulls_last(), "_hash").drop("_hash")
+    return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "_hash").drop("_hash")
 
 
-def passes(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each time that the mix takes a row of ``docs``: doc_id, pass (0, 1, ...), position, and ``keep``.
+def _digests(docs: DataFrame) -> list[Column]:
+    """128 bits of all columns of a row, nulls and maps told apart from others."""
+    kinds = {f.name: f.dataType.typeName() for f in docs.schema.fields}
+    values = [F.map_entries(F.col(f"`{c}`")) if kinds[c] == "map" else F.col(f"`{c}`") for c in docs.columns]
+    told = [x for v in values for x in (v.isNull(), v)]
+    return [F.xxhash64(F.lit(seed), *told) for seed in (1, 2)]
 
-    Each pass has a time of its own, at which demand reaches the middle of the document's words counted from pass
-    source sizes on. The rows are range-sorted by position.
-    """
-    d = _placed(docs, weights, share, most, id_col, text_col, source_col, keep).where("times > 0")
-    d = d.withColumn("pass", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))))
-    u = (F.col("middle") + F.col("pass") * F.col("source_size")) / F.col("target")
-    out = d.select("doc_id", "pass", position(u, F.col("ramp")).alias("position"), *[F.col(f"keep_{c}").alias(c) for c in keep], F.col("hash").alias("_hash"))
-    return out.orderBy("position", "_hash", "pass").drop("_hash")
 
+def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it, every copy at its own position; same columns.
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, range-sorted by the position of each pass; same columns."""
-    return passes(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "pass", "position")), **options).select(docs.columns)
+    The mix is decided on rows without texts, told apart by 128 bits of all their columns, and its copies are dealt to ranges of
+    positions, each for about ``RANGE_BYTES`` of text. Texts are then moved twice: to meet their copies, and to their ranges.
+    Rows equal in all columns are interchangeable: one of them meets the copies of all.
+    """
+    k1, k2 = _digests(docs)
+    d = _placed(_slim(docs, id_col, text_col, source_col, k1.alias("k1"), k2.alias("k2")), weights, share, most).where("times > 0")
+    equal = d.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    copies = d.select("k1", "k2", "hash", "size", F.posexplode("positions").alias("pass", "position")).join(equal, ["k1", "k2"])
+    copies = checkpointed(copies)
+    words = copies.agg(F.sum("size")).head()[0]
+    if words is None:
+        return docs.limit(0)
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, words * 8 // RANGE_BYTES)
+    seats = checkpointed(copies.repartitionByRange(int(ranges), "position", "hash", "pass").withColumn("range", F.spark_partition_id()).drop("size"))
+    ranges = seats.agg(F.max("range")).head()[0] + 1
+    # Names that docs can't clash with: its columns travel in a struct.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    seated = keyed.join(seats.where("n = 1"), ["k1", "k2"])
+    several = seats.where("n > 1")
+    if not several.isEmpty():
+        one = keyed.join(several.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.any_value("row").alias("row"))
+        seated = seated.unionByName(one.join(several, ["k1", "k2"]))
+    ordered = seated.repartitionById(ranges, F.col("range")).sortWithinPartitions("position", "hash", "pass")
+    return ordered.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -75,7 +75,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    at = {"position": F.get("positions", F.lit(0)), "last_position": F.get("positions", F.size("positions") - 1)}
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", *[x.alias(c) for c, x in at.items()])
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +135,14 @@ k AS (SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS budget,
              sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM w),
 l AS (SELECT *, (budget - capped) / open AS level FROM k),
 m AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM l WHERE level * weight <= cap) AS lv FROM l),
-t AS (SELECT source, source_size, CASE WHEN lv IS NULL THEN cap ELSE least(cap, lv * weight) END AS target FROM m),
-o AS (SELECT d.*, t.source_size, t.target,
+t AS (SELECT source, source_size, 0.5::DOUBLE - weight / 3.0::DOUBLE AS ramp, CASE WHEN lv IS NULL THEN cap ELSE least(cap, lv * weight) END AS target FROM m),
+o AS (SELECT d.*, t.source_size, t.target, t.ramp,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS mid
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       size * ((mid < target)::BIGINT + (mid + source_size < target)::BIGINT + (mid + 2 * source_size < target)::BIGINT) AS taken
-FROM o
+SELECT doc_id, size, source_size, target, size * times AS taken,
+       CASE WHEN times > 0 THEN (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * (mid / target)) - (1 - ramp)) / (2 * ramp) END AS position,
+       CASE WHEN times > 0 THEN (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * ((mid + source_size * (times - 1)) / target)) - (1 - ramp)) / (2 * ramp) END AS last_position
+FROM (SELECT *, (mid < target)::BIGINT + (mid + source_size < target)::BIGINT + (mid + 2 * source_size < target)::BIGINT AS times FROM o)
 """
 
 _TEMPLATES = ", ".join(f"({k}, '{t.label}', {t.base}, string_split('{' '.join(t.words)}', ' '))" for k, t in enumerate(licenses.templates()))

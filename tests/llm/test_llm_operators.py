@@ -478,7 +478,8 @@ def test_mixing_meets_targets(docs):
         taken[g["source_size"], round(g["target"], 6)] += g["taken"]
     most = max(size(t) for _, t, _ in rows)
     assert all(abs(v - t) <= most for (_, t), v in taken.items())
-    assert [g["position"] for g in got if g["times"]] == sorted(g["position"] for g in got if g["times"])
+    assert [g["positions"][0] for g in got if g["times"]] == sorted(g["positions"][0] for g in got if g["times"])
+    assert all(len(g["positions"]) == g["times"] and all(0 <= p <= 1 for p in g["positions"]) for g in got)
     again = mixing.mix(docs.repartition(5)).collect()
     assert Counter((g["doc_id"], g["size"], g["taken"]) for g in got) == Counter((g["doc_id"], g["size"], g["taken"]) for g in again)
 
@@ -499,28 +500,40 @@ def test_mixed_documents_repeat_rows(docs):
     assert Counter(r["doc_id"] for r in out.collect()) == +times
 
 
-def test_each_pass_has_its_own_position(docs):
-    plan = {g["doc_id"]: g for g in mixing.mix(docs).collect()}
-    rows = mixing.passes(docs).collect()
-    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
-    sizes = {g["source_size"]: g["target"] for g in plan.values()}
-    assert any(t > s for s, t in sizes.items())
-    at = defaultdict(list)
-    for r in rows:
-        if r["doc_id"] not in (None, 5):  # ids of one row only
-            at[r["doc_id"]].append((r["pass"], r["position"]))
-    ramps = {r["source_size"]: r["ramp"] for r in mixing.target_words(docs.sparkSession.createDataFrame([(g, s) for g, s in {(d["source"], plan[d["doc_id"]]["source_size"]) for d in docs.collect() if d["doc_id"] not in (None, 5)}], "source string, source_size long")).collect()}
+def test_passes_are_one_source_size_of_demand_apart(docs):
+    plan = [g for g in mixing.mix(docs).collect()]
+    assert any(g["times"] == 2 for g in plan)
+    sources = {g["doc_id"]: r["source"] for g in plan for r in docs.collect() if r["doc_id"] == g["doc_id"]}
+    sizes = docs.sparkSession.createDataFrame(list({(sources[g["doc_id"]], g["source_size"]) for g in plan if g["doc_id"] not in (None, 5)}), "source string, source_size long")
+    ramps = {r["source_size"]: r["ramp"] for r in mixing.target_words(sizes).collect()}
     demand = lambda p, ramp: p * (1 - ramp) + ramp * p * p
-    for i, found in at.items():
-        g = plan[i]
-        assert sorted(c for c, _ in found) == list(range(g["times"]))
-        first = dict(found)[0]
-        for c, p in found:
-            ramp = ramps[g["source_size"]]
-            assert abs((demand(p, ramp) - demand(first, ramp)) * g["target"] - c * g["source_size"]) < 1e-6
+    for g in plan:
+        if g["times"] == 2 and g["doc_id"] not in (None, 5):
+            first, second = (demand(p, ramps[g["source_size"]]) * g["target"] for p in g["positions"])
+            assert abs(second - first - g["source_size"]) < 1e-6
+
+
+def test_mixed_copies_stand_at_their_own_positions(docs):
+    once = {g["doc_id"]: g for g in mixing.mix(docs).collect() if g["doc_id"] not in (None, 5)}
     order = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
-    assert order == [r["doc_id"] for r in rows]
-    assert any(order[k] != order[k + 1] for k in range(len(order) - 1) if plan[order[k]]["times"] == 2)
+    want = sorted((p, hashlib.md5(str(i).encode()).hexdigest(), i) for i, g in once.items() for p in g["positions"])
+    assert [i for i in order if i in once] == [i for _, _, i in want]
+    assert any(once[a]["times"] == 2 and a != b for a, b in zip(order, order[1:]) if a in once)
+
+
+def test_mixed_documents_keep_clashing_columns_and_repeated_rows(spark):
+    names = ("size", "source_size", "target", "taken", "times", "position", "positions", "copy", "pass", "hash", "k1", "range", "row", "n")
+    rows = [(i, f"some words {'more ' * (i % 9)}", f"s{i % 2}", *[f"{c}{i}" for c in names]) for i in range(30)]
+    rows += rows[3:4] * 7 + [(None, None, None, *[None] * len(names))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names)).repartition(3)
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns
+    got, n = Counter(tuple(r) for r in out.collect()), Counter()
+    for g in mixing.mix(d).collect():
+        n[g["doc_id"]] += g["times"]
+    assert got == +Counter({r: n[r[0]] for r in set(rows)})
+    long = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x y", "a"), (3, "", "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: len(r["text"]) for r in mixing.mixed_documents(long).collect()}[1] == 600_000
 
 
 # 10. Licenses
