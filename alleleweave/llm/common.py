@@ -45,6 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def row_digests(df: DataFrame) -> list[Column]:
+    """128 bits of all columns of a row, as two longs: what tells rows apart that have no key. Nulls count."""
+    values = [F.map_entries(F.col(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema.fields]
+    told = [x for v in values for x in (v.isNull(), v)]
+    return [F.xxhash64(F.lit(seed), *told) for seed in (1, 2)]
+
+
 def release() -> None:
     """Gives memory that a Python worker has freed back to the machine; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, row_digests
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of the shuffled order of each source: the first hex digits of the order's hash.
@@ -105,14 +105,6 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "_hash").drop("_hash")
 
 
-def _digests(docs: DataFrame) -> list[Column]:
-    """128 bits of all columns of a row, nulls and maps told apart from others."""
-    kinds = {f.name: f.dataType.typeName() for f in docs.schema.fields}
-    values = [F.map_entries(F.col(f"`{c}`")) if kinds[c] == "map" else F.col(f"`{c}`") for c in docs.columns]
-    told = [x for v in values for x in (v.isNull(), v)]
-    return [F.xxhash64(F.lit(seed), *told) for seed in (1, 2)]
-
-
 def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` takes it, every copy at its own position; same columns.
 
@@ -120,7 +112,7 @@ def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     positions, each for about ``RANGE_BYTES`` of text. Texts are then moved twice: to meet their copies, and to their ranges.
     Rows equal in all columns are interchangeable: one of them meets the copies of all.
     """
-    k1, k2 = _digests(docs)
+    k1, k2 = row_digests(docs)
     d = _placed(_slim(docs, id_col, text_col, source_col, k1.alias("k1"), k2.alias("k2")), weights, share, most).where("times > 0")
     equal = d.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
     copies = d.select("k1", "k2", "hash", "size", F.posexplode("positions").alias("pass", "position")).join(equal, ["k1", "k2"])

@@ -3,7 +3,8 @@
 Candidates come from two searches over distinct sets of shingles: bands of minimum hashes, which lose a pair at a
 similarity of 0.8 with a chance of 0.0004, and SimHash fingerprints within 3 bits. Every link is then verified on
 the sets themselves. Members of a bucket are first compared with one of them, the hub, which ties most of a large
-group together; whatever is still apart in a bucket is compared pair by pair, so no candidate is passed over.
+group together. Whatever is still apart in a bucket is compared pair by pair, in a large bucket all pairs that share one of
+their rarest shingles, as every pair alike enough does: so no candidate is passed over.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed
+from .common import checkpointed, release, row_digests
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at similarity s meets in a bucket with a chance of 1 - (1 - s ** ROWS) ** BANDS.
 BANDS, ROWS = 20, 5
-#: Buckets of more texts that are still apart are compared with up to so many other hubs before pairs.
-SMALL, STARS = 64, 2
+#: Buckets of up to so many texts that are still apart are compared pair by pair, others by their rarest shingles.
+SMALL = 32
 CHUNK = 2048
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -45,22 +46,26 @@ def bands(distinct: np.ndarray) -> list[int]:
     return [simhash.signed(xxhash.xxh3_64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, t, node, fp, bands): a row for each row of ``docs``. t is a hash of the text, node one of its shingles."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, t, rest, node, fp, bands): a row for each row of ``docs``. t is a hash of the text, node one of its shingles,
+    rest has the columns to keep."""
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)])
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), rest.alias("rest"), F.col(text_col).cast("binary").alias("text"))
+    kinds = [slim.schema[c].dataType.simpleString() for c in ("id", "rest")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp, keys = [], [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 h = simhash.shingle_hashes(text.as_py(), shingle)
                 distinct = np.unique(h)
                 node.append(simhash.signed(node_of(distinct)))
                 fp.append(simhash.signed(simhash.folded(h)))
                 keys.append(bands(distinct))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "t", "node", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "t", "rest", "node", "fp", "bands"])
+        release()
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, t long, node long, fp long, bands array<long>")
+    return slim.mapInArrow(run, "id {}, t long, rest {}, node long, fp long, bands array<long>".format(*kinds))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -78,6 +83,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int
                     node.append(n)
                     sets.append(distinct.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        release()
 
     texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text")).join(wanted, "t", "left_semi")
     return texts.select("text").mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
@@ -95,15 +101,33 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: id_col, node (long), component_id.
+def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, root) under different roots that may be alike, none that is left out.
+
+    Two sets with a Jaccard similarity of s share one of the n - ceil(s * n) + 1 shingles of either that come first in any
+    common order. Here the rarest among ``nodes`` come first, so that a passage which many texts share makes no pairs.
+    """
+    each = sets.join(nodes, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1
+    shared = each.join(often, "shingle").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))  # of one text
+    alone = F.col("n") - F.size("s")  # shingles that no other node has come before all others
+    keyed = shared.withColumn("k", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), (first - alone).cast("int"))))).select("node", "root", "n", F.col("k.shingle").alias("key"))
+    keyed = checkpointed(keyed)
+    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n")]) for side in "ab")
+    near = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9)
+    return a.join(b, "key").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: id_col, node (long), root (long, one for each group), component_id, and ``keep``.
 
     component_id is the least id reachable by links between texts of which the sets of ``shingle`` words (all words
     of a shorter text) have a Jaccard similarity of ``similarity`` or more. Words are parted by ASCII white space,
     A-Z lower-cased. Texts without words are copies of each other. Rows with equal ids each get a row; a null id
     never is a component_id unless its component has no other. An empty table gives an empty result.
     """
-    each = checkpointed(sketches(docs, id_col, text_col, shingle))
+    each = checkpointed(sketches(docs, id_col, text_col, shingle, keep))
     nodes = checkpointed(each.groupBy("node").agg(F.min("id").alias("least"), F.min("t").alias("t"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
     worded = nodes.where(F.size("bands") > 0)
     keyed = worded.select("node", F.explode("bands").alias("key"))
@@ -120,28 +144,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = checkpointed(shingle_sets(docs, worded.join(members, "node", "left_semi").select("t").distinct(), text_col, shingle))
     links = checkpointed(verified(pairs, sets, similarity))
     roots = checkpointed(components(links))
-    for star in range(1, STARS + 2):
-        # What is left are buckets whose members are not all in one component.
-        of = keyed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        order = F.xxhash64("node", F.lit(star))
-        mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("node", "root"), order).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        left = checkpointed(of.join(mixed.select("key", "n", "hub"), "key"))
-        largest = left.agg(F.max("n")).head()[0]
-        if largest is None:
-            break
-        last = largest <= SMALL or star > STARS
-        if last:
-            one, two = (left.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-            pairs = one.join(two, "key").where("root_a <> root_b AND a < b").select("a", "b")
-        else:
-            pairs = left.where("root <> hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-        found = checkpointed(verified(pairs.distinct(), sets, similarity))
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = checkpointed(components(links))
-        if last:
-            break
+    # What is left are buckets whose members are not all in one component.
+    of = keyed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = checkpointed(of.join(mixed.select("key", "n"), "key"))
+    one, two = (left.where(F.col("n") <= SMALL).select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    pairs = one.join(two, "key").where("root_a <> root_b AND a < b").select("a", "b")
+    large = left.where(F.col("n") > SMALL).select("node", "root").distinct()
+    if not large.isEmpty():
+        pairs = pairs.union(rare_pairs(large, sets, similarity))
+    found = checkpointed(verified(pairs.distinct(), sets, similarity))
+    if not found.isEmpty():
+        roots = checkpointed(components(links.union(found)))
     named = checkpointed(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(best, "root").select("node", "component_id")
-    return each.select("id", "node").join(of, "node").select(F.col("id").alias(id_col), "node", "component_id")
+    of = named.join(best, "root").select("node", "root", "component_id")
+    return each.join(of, "node").select(F.col("id").alias(id_col), "node", "root", "component_id", *[F.col(f"rest.k{k}").alias(c) for k, c in enumerate(keep)])
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay of its groups of near copies, one row of each: that with the least id, null ids
+    last; of equal ids one chosen by a hash of the whole row. Same columns."""
+    k1, k2 = row_digests(docs)
+    names = ("__k1", "__k2")
+    groups = similar_groups(docs.select("*", k1.alias(names[0]), k2.alias(names[1])), id_col, text_col, shingle, similarity, names)
+    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), *names)).alias("first")
+    stay = groups.groupBy("root").agg(first).select("first.__k1", "first.__k2")
+    equal = groups.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    stay = checkpointed(stay.join(equal, list(names)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias(names[0]), k2.alias(names[1]))
+    out = keyed.join(stay.where("n = 1"), list(names), "left_semi").select("row")
+    several = stay.where("n > 1")
+    if not several.isEmpty():
+        out = out.union(keyed.join(several, list(names), "left_semi").groupBy(*names).agg(F.any_value("row").alias("row")).select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
