@@ -2,10 +2,14 @@
 
 Vectors are rotated at random, once, so that any leading coordinates are a fair sample of all. Each vector
 belongs to the list of its nearest centroid. A list keeps its vectors in column blocks; for a query the
-blocks are read one after another, and after each a hypothesis test compares the distance so far with what
-the current k-th best neighbour allows: d of D coordinates give an estimate sqrt(D/d) * partial that rarely
+blocks are read one after another, and after each a hypothesis test compares the distance so far with that of
+the current k-th best neighbour: d of D coordinates give an estimate sqrt(D/d) * partial that rarely
 exceeds the true distance by more than a factor 1 + EPSILON / sqrt(d), so a candidate beyond that is
-abandoned. The survivors' distances are computed in double precision on the original vectors.
+abandoned. The survivors' distances are computed in double precision on the original vectors, and the k-th best
+is brought up to date before the next rows are read.
+
+A query scans its nearest list first; its k-th best distance there goes with it to the other lists that it probes,
+where most candidates are abandoned early.
 
 Centroids are fitted on a bounded sample (``SAMPLE`` rows, in the order of their ids' hashes), and the number
 of lists to probe is the smallest that finds ``RECALL`` of the true neighbours within that sample; every
@@ -33,8 +37,10 @@ CHUNK_ROWS = 16_384
 CHUNK_QUERIES = 4_096
 COLUMNS = 16
 EPSILON = 2.1
-#: Rows that give a query its first threshold within a list.
-PILOT = 64
+#: Rows that are read before the k-th best is brought up to date; fewer at first, as there is none yet.
+STEP, FIRST_STEP = 2_048, 128
+#: Partial and whole distances are sums of rounded squares: so many times their rounding never decides.
+ROUNDING = 64 * np.finfo(float).eps
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -73,33 +79,40 @@ def calibrated_probes(sample: np.ndarray, centroids: np.ndarray, k: int, recall:
     return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1
 
 
-def scan(rows: np.ndarray, queries: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, turn: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """(query id, id, distance): for each query its k nearest of ``rows``, ties to smaller ids, abandoning early."""
+def scan(rows: np.ndarray, queries: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, turn: np.ndarray, k: int, limits: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
+    """(query id, id, distance): for each query its k nearest of ``rows``, ties to smaller ids, abandoning early.
+
+    ``limits`` are distances beyond which a query has no use for a candidate.
+    """
     turned, dims = rows @ turn, rows.shape[1]
     blocks = [np.ascontiguousarray(turned[:, s : s + COLUMNS]) for s in range(0, dims, COLUMNS)]
-    for q, qid in zip(queries, query_ids):
-        t = q @ turn
-        alive = np.flatnonzero(ids != qid)
-        if len(alive) == 0:
-            continue
-        limit = np.inf
-        if len(alive) > max(PILOT, 2 * k):
-            first = ((turned[alive[:: max(1, len(alive) // PILOT)]] - t) ** 2).sum(1)
-            if len(first) >= k:
-                limit = np.partition(first, k - 1)[k - 1]
-        part, d = np.zeros(len(alive)), 0
-        for b in blocks:
-            part += ((b[alive] - t[d : d + b.shape[1]]) ** 2).sum(1)
-            d += b.shape[1]
-            if d < dims:
-                keep = part * (dims / d) <= limit * (1 + EPSILON / np.sqrt(d)) ** 2
-                alive, part = alive[keep], part[keep]
-        if len(alive) > k:  # rounding must not decide between ties
-            keep = part <= np.partition(part, k - 1)[k - 1] * (1 + 1e-6) + 1e-12
-            alive = alive[keep]
-        exact = np.sqrt(((rows[alive] - q) ** 2).sum(1))
-        for i in np.lexsort((ids[alive], exact))[:k]:
-            yield int(qid), int(ids[alive[i]]), float(exact[i])
+    largest = (rows * rows).sum(1).max(initial=0.0)
+    for at, (q, qid) in enumerate(zip(queries, query_ids)):
+        t, slack = q @ turn, ROUNDING * (q @ q + largest)
+        limit = np.inf if limits is None else limits[at] ** 2
+        best, best_ids, begin, step = np.zeros(0), np.zeros(0, ids.dtype), 0, FIRST_STEP
+        while begin < len(rows):
+            alive = np.arange(begin, min(begin + step, len(rows)))
+            begin, step = begin + step, STEP
+            alive = alive[ids[alive] != qid]
+            part, d = np.zeros(len(alive)), 0
+            for b in blocks:
+                part = part + ((b[alive] - t[d : d + b.shape[1]]) ** 2).sum(1)
+                d += b.shape[1]
+                if limit < np.inf:
+                    factor = (1 + EPSILON / np.sqrt(d)) ** 2 if d < dims else 1
+                    keep = part * (dims / d) <= limit * factor + slack
+                    alive, part = alive[keep], part[keep]
+            if not len(alive):
+                continue
+            best = np.r_[best, np.sqrt(((rows[alive] - q) ** 2).sum(1))]
+            best_ids = np.r_[best_ids, ids[alive]]
+            first = np.lexsort((best_ids, best))[:k]
+            best, best_ids = best[first], best_ids[first]
+            if len(best) == k:
+                limit = min(limit, best[-1] ** 2)
+        for i, x in zip(best_ids, best):
+            yield int(qid), int(i), float(x)
 
 
 def clean_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -154,34 +167,43 @@ def nearest(table: DataFrame, is_query: Callable[[Column], Column], k: int = 10,
                 part = batch.slice(s, 1024)
                 x = np.frombuffer(b"".join(part.column(1).to_pylist())).reshape(-1, dims)
                 order = _squared(x, centroids).argsort(1)
-                # As many lists as calibrated, and on until they hold enough rows for k neighbours.
+                # First the nearest lists that hold enough rows for k neighbours; then on to as many as calibrated.
                 reach = np.cumsum(count[order], axis=1) - count[order]
-                probed = (np.arange(lists)[None] < probes) | (reach < 4 * (k + 1))
-                probed = [o[p].astype(np.int32) for o, p in zip(order, probed)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(probed, pa.list_(pa.int32()))], ["id", "v", "lists"])
-
-    asked = checkpointed(queries.mapInArrow(probe, "id long, v binary, lists array<int>").withColumn("list", F.explode("lists")).drop("lists"))
-    many = np.zeros(lists, np.int64)
-    for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
-        many[r["list"]] = r["n"]
-    # A list of many rows or queries is dealt out to a grid of tasks, each with bounded rows and queries.
-    grid = lambda n, most: F.element_at(F.array(*[F.lit(int(max(1, -(-x // most)))) for x in n]), F.col("list") + 1)
-    part = lambda cells: F.pmod(F.xxhash64("id", "v"), cells).cast("int")
-    every = lambda cells: F.explode(F.sequence(F.lit(0), cells - 1))
-    left = rows.withColumn("row_part", part(grid(count, CHUNK_ROWS))).withColumn("query_part", every(grid(many, CHUNK_QUERIES)))
-    right = asked.withColumn("query_part", part(grid(many, CHUNK_QUERIES))).withColumn("row_part", every(grid(count, CHUNK_ROWS)))
+                near = reach < 4 * (k + 1)
+                lists_of = lambda chosen: pa.array([o[c].astype(np.int32) for o, c in zip(order, chosen)], pa.list_(pa.int32()))
+                more = (np.arange(lists)[None] < probes) & ~near
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists_of(near), lists_of(more)], ["id", "v", "near", "more"])
+
+    asked = checkpointed(queries.mapInArrow(probe, "id long, v binary, near array<int>, more array<int>"))
+    out = "query_id long, id long, score double"
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         found = []
         if a.num_rows and b.num_rows:
             vectors = [np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(-1, dims) for t in (a, b)]
-            found = list(scan(*vectors, a.column("id").to_numpy(), b.column("id").to_numpy(), turn, k))
+            found = list(scan(*vectors, a.column("id").to_numpy(), b.column("id").to_numpy(), turn, k, b.column("most").to_numpy()))
         cols = list(zip(*found)) or [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    cell = ("list", "row_part", "query_part")
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+    def scanned(asked: DataFrame) -> DataFrame:
+        """``out`` of the queries (id, v, most, list). A list of many rows or queries is dealt out to a grid of tasks, each
+        with bounded rows and queries."""
+        many = np.zeros(lists, np.int64)
+        for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
+            many[r["list"]] = r["n"]
+        grid = lambda n, most: F.element_at(F.array(*[F.lit(int(max(1, -(-x // most)))) for x in n]), F.col("list") + 1)
+        part = lambda cells: F.pmod(F.xxhash64("id", "v"), cells).cast("int")
+        every = lambda cells: F.explode(F.sequence(F.lit(0), cells - 1))
+        wanted = F.array(*[F.lit(bool(n)) for n in many])
+        left = rows.where(F.element_at(wanted, F.col("list") + 1)).withColumn("row_part", part(grid(count, CHUNK_ROWS))).withColumn("query_part", every(grid(many, CHUNK_QUERIES)))
+        right = asked.withColumn("query_part", part(grid(many, CHUNK_QUERIES))).withColumn("row_part", every(grid(count, CHUNK_ROWS)))
+        cell = ("list", "row_part", "query_part")
+        return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, out)
 
+    best = Window.partitionBy("query_id").orderBy("score", "id")
+    top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    first = checkpointed(top(scanned(asked.select("id", "v", F.lit(float("inf")).alias("most"), F.explode("near").alias("list")))))
+    known = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("most"))
+    rest = asked.join(known, "id", "left").select("id", "v", F.coalesce("most", F.lit(float("inf"))).alias("most"), F.explode("more").alias("list"))
+    found = first.select("query_id", "id", "score").union(scanned(checkpointed(rest)))
+    return top(found).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")

@@ -406,6 +406,32 @@ def test_nearest_recall_and_scores(spark):
     assert [i for _, i, _ in sorted(by[0])] == list(range(100, 110))
 
 
+def test_scan_keeps_every_copy():
+    r = np.random.default_rng(11)
+    turn = ann.rotation(64)
+    for n, copies in ((300, 100), (5000, 300), (40, 12)):
+        for _ in range(40):
+            x = r.standard_normal((n, 64)) * r.choice([1e-3, 1.0, 1e4])
+            ids = r.permutation(n).astype(np.int64)
+            x[r.permutation(n)[:copies]] = x[0]
+            got = list(ann.scan(x, x[:1], ids, ids[:1], turn, 10))
+            d = np.sqrt(((x - x[0]) ** 2).sum(1))
+            want = [i for i in np.lexsort((ids, d)) if i != 0][:10]
+            assert [g[1] for g in got] == ids[want].tolist() and [g[2] for g in got] == d[want].tolist()
+            limit = np.array([d[want[4]]])  # known from another list: what is nearer is still found
+            assert [g[1] for g in ann.scan(x, x[:1], ids, ids[:1], turn, 10, limit)][:5] == ids[want[:5]].tolist()
+
+
+def test_nearest_with_more_copies_than_a_list_reads_at_first(spark):
+    r = np.random.default_rng(12)
+    x = np.repeat(r.standard_normal((3, 16)), 300, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(list)
+    for g in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), lambda i: i % 100 == 0).orderBy("query_id", "rank").collect():
+        got[g["query_id"]].append((g["vec_id"], g["score"]))
+    assert got == {q: [(i, 0.0) for i in range(q // 300 * 300, q // 300 * 300 + 11) if i != q][:10] for q in range(0, 900, 100)}
+
+
 def test_nearest_of_few(spark):
     t = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, ann.nearest(t, lambda i: i == 0).collect()))
