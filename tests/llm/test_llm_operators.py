@@ -467,6 +467,74 @@ def test_toxicity_on_held_out_rows(spark):
     assert ((s >= 0) & (s <= 1)).all() and ((s >= 0.3) == (p == 1)).all()
 
 
+def test_kneser_ney_equals_brute_force(monkeypatch):
+    """Both orders, by sets and loops over the same small corpus."""
+    monkeypatch.setattr(toxicity, "LEAST_COUNT", 2)
+    r = random.Random(10)
+    vocabulary = [f"{s}{e}".encode() for s in ("stem", "word", "some", "more") for e in ("", "a", "b", "cd")]
+    docs = [([r.choice(vocabulary[: 16 - 6 * y]) for _ in range(r.randint(0, 40))], y) for y in (0, 1) for _ in range(60)]
+    model = toxicity.fit([b" ".join(w) for w, _ in docs], [y for _, y in docs])
+    words, pairs = [defaultdict(set), defaultdict(set)], [defaultdict(set), defaultdict(set)]
+    for t, y in docs:
+        for i, w in enumerate(t):
+            v, u = (t[i - 1] if i else b""), (t[i - 2] if i > 1 else b"")
+            words[y][w].add(v)
+            pairs[y][v, w].add(u)
+    words, pairs = ([{k: len(x) for k, x in c.items()} for c in z] for z in (words, pairs))
+    stems = [Counter() for _ in words]
+    for c, z in zip(words, stems):
+        for w, k in c.items():
+            z[w[:4]] += k
+    every = sorted({b""} | {w for t, _ in docs for w in t})
+    known_stems = {w[:4] for w in every}
+
+    def d(c):
+        n = Counter(c.values())
+        return max(2.0, 3 - 4 * n[1] / (n[1] + 2 * n[2]) * n[4] / n[3]) if n[1] and n[3] else 2.0
+
+    def stem(y, s):
+        c, total = stems[y], sum(stems[y].values())
+        freed = max(sum(min(k, d(c)) for k in c.values()), 0.5) / total
+        both = stems[0] + stems[1]
+        return max(c[s] - d(c), 0) / total + freed * (both[s] + 1) / (sum(both.values()) + len(known_stems) + 1), freed
+
+    def word(y, w):
+        c, total = words[y], sum(words[y].values())
+        freed = max(sum(min(k, d(c)) for k in c.values()), 0.5) / total
+        share = (words[0].get(w, 0) + words[1].get(w, 0) + 1) / (stems[0][w[:4]] + stems[1][w[:4]] + 1)
+        return max(c.get(w, 0) - d(c), 0) / total + freed * share * stem(y, w[:4])[0], freed
+
+    kept = lambda v, w: pairs[0].get((v, w), 0) + pairs[1].get((v, w), 0) >= 2
+
+    def pair(y, v, w):
+        c = {b: k for (a, b), k in pairs[y].items() if a == v}
+        if not c:
+            return word(y, w)[0]
+        gain = {b: max(k - d(pairs[y]), 0) if kept(v, b) else 0 for b, k in c.items()}
+        return (gain.get(w, 0) + (sum(c.values()) - sum(gain.values())) * word(y, w)[0]) / sum(c.values())
+
+    text = [r.choice(vocabulary) for _ in range(300)]
+    one = [math.log(word(1, w)[0] / word(0, w)[0]) for w in text]
+    two = [math.log(pair(1, v, w) / pair(0, v, w)) for v, w in zip([b"", *text], text)]
+    assert any(kept(v, w) for v, w in zip(text, text[1:]))
+    want = [1.0, *toxicity._windows(np.array(one)), *toxicity._windows(np.array(two))]
+    assert np.allclose(model.features(text), want)
+    # Unknown words have the ratio of their stem, or of what is unseen, and a context that was never seen frees all.
+    u0, u1 = (word(y, b"stem")[1] for y in (0, 1))
+    s0, s1 = (stem(y, b"stem") for y in (0, 1))
+    assert np.allclose(model.features([b"stemxyz", b"other"])[1], (2 * math.log(u1 / u0) + math.log(s1[0] / s0[0]) + math.log(s1[1] / s0[1])) / 2)
+
+
+def test_the_sample_is_bounded_by_class_and_passes_over_huge_texts(spark):
+    rows = [(i, "x" * (60_000 if i == 3 else 90 + i % 10), int(i % 10 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    texts, y, share = toxicity.labelled_sample(docs, labels, most_rows=200, most_bytes=6_000)
+    by = [[len(t) for t, z in zip(texts, y) if z == c] for c in (0, 1)]
+    assert share == 0.1 and all(2_800 < sum(b) <= 3_000 for b in by) and max(map(len, texts)) <= 6_000 / 32
+    assert Counter(toxicity.labelled_sample(docs, labels, most_rows=20, most_bytes=6_000)[1]) == {0: 10, 1: 10}
+
+
 def test_toxicity_with_labels_of_one_class_or_none(spark, docs):
     for labels in ([], [0, 0], [1]):
         m = toxicity.fit([b"some text"] * len(labels), labels)
