@@ -4,7 +4,9 @@ The reference table counts, for every line key and document, how often the docum
 follow how many documents hold a key and which is the largest. Inserting documents adds to the
 counts, deleting them takes from the counts, so the index after a deletion equals one that never saw the
 documents. The keys that are due for removal stand in cuckoo filters, one for each shard of the keys:
-two possible buckets for a key's 16-bit fingerprint, so a key can be taken out again. A line is looked up
+two possible buckets for a key's 16-bit fingerprint, so a key can be taken out again. The filters are part of the
+index: keys that become due by an insertion are put into them, keys that cease to be due by a deletion are taken
+out, and a filter that gets too full is built anew from the exact table. A line is looked up
 in its shard's filter; only possible hits go on to the exact table.
 """
 
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, checkpointed
@@ -53,6 +55,22 @@ class CuckooFilter:
             while not self._fill(keys):
                 self._reset(2 * len(self.table) * SLOTS)
 
+    @classmethod
+    def read(cls, table: bytes) -> CuckooFilter:
+        out = cls()
+        out.table = np.frombuffer(table, np.uint16).reshape(-1, SLOTS).copy()
+        out.keys = int((out.table != 0).sum())
+        return out
+
+    def written(self) -> bytes:
+        return self.table.tobytes()
+
+    def contents(self) -> list[tuple[int, int]]:
+        """What the filter holds, wherever it stands: each fingerprint with the lesser of its two buckets."""
+        b, c = np.nonzero(self.table)
+        f = self.table[b, c].astype(np.int64)
+        return sorted(zip(f.tolist(), np.minimum(b, self._other(f, b)).tolist()))
+
     def _reset(self, n: int) -> None:
         self.table = np.zeros((1 << max(1, int(n / SLOTS / 0.8)).bit_length(), SLOTS), np.uint16)
 
@@ -132,20 +150,71 @@ def due(refs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= least_docs)
 
 
+def _shard(shards: int) -> Column:
+    return F.pmod("k1", F.lit(shards)).cast("int")
+
+
+FILTERS = "shard int, filter binary"
+
+
+def _built(keys: DataFrame, shards: int) -> DataFrame:
+    """FILTERS of the keys (k1), one for each shard that has any."""
+
+    def build(table: pa.Table) -> pa.Table:
+        made = CuckooFilter(table.column("k1").to_numpy().view(np.uint64)).written()
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "filter": pa.array([made], pa.binary())})
+
+    return keys.select("k1", _shard(shards).alias("shard")).groupBy("shard").applyInArrow(build, FILTERS)
+
+
 class LineIndex:
-    """An incremental index: the exact reference table, to which documents are added and from which they are taken."""
+    """An incremental index: the exact reference table, to which documents are added and from which they are taken, and
+    the filters of the keys that are due."""
 
-    def __init__(self, refs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> None:
-        self.refs, self.least_length, self.least_docs = refs, least_length, least_docs
+    def __init__(self, refs: DataFrame, filters: DataFrame, shards: int, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> None:
+        self.refs, self.filters, self.shards, self.least_length, self.least_docs = refs, filters, shards, least_length, least_docs
+        self._due: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> LineIndex:
-        return cls(references(docs, id_col, text_col, least_length), least_length, least_docs)
+        refs = references(docs, id_col, text_col, least_length)
+        exact = checkpointed(due(refs, least_docs))
+        shards = max(SHARDS, exact.count() // SHARD_KEYS)
+        index = cls(refs, checkpointed(_built(exact, shards)), shards, least_length, least_docs)
+        index._due = exact
+        return index
+
+    @property
+    def due(self) -> DataFrame:
+        """(k1, k2, docs, keeper) of the keys that are due, computed once."""
+        if self._due is None:
+            self._due = checkpointed(due(self.refs, self.least_docs))
+        return self._due
 
     def _with(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> LineIndex:
-        more = references(docs, id_col, text_col, self.least_length).withColumn("n", F.col("n") * sign)
+        more = checkpointed(references(docs, id_col, text_col, self.least_length).withColumn("n", F.col("n") * sign))
         refs = self.refs.unionByName(more).groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n")).where("n > 0")
-        return LineIndex(checkpointed(refs), self.least_length, self.least_docs)
+        refs = checkpointed(refs)
+        # Only keys of these documents can become due or cease to be.
+        touched = more.select("k1", "k2").distinct()
+        before, after = (due(r.join(touched, ["k1", "k2"], "left_semi"), self.least_docs).select("k1", "k2") for r in (self.refs, refs))
+        changes = after.join(before, ["k1", "k2"], "left_anti").withColumn("put", F.lit(True)).union(before.join(after, ["k1", "k2"], "left_anti").withColumn("put", F.lit(False)))
+
+        def update(old: pa.Table, changed: pa.Table) -> pa.Table:
+            shard = (old if old.num_rows else changed).column("shard")[0].as_py()
+            f = CuckooFilter.read(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter()
+            put, keys = changed.column("put").to_numpy(zero_copy_only=False), changed.column("k1").to_numpy().view(np.uint64)
+            fits = all(f.delete(int(k)) for k in keys[~put]) and all(f.insert(int(k)) for k in keys[put])
+            return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([f.written() if fits else None], pa.binary())})
+
+        changes = changes.select("k1", "put", _shard(self.shards).alias("shard"))
+        filters = checkpointed(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(update, FILTERS))
+        index = LineIndex(refs, filters, self.shards, self.least_length, self.least_docs)
+        full = filters.where("filter IS NULL").select("shard")
+        if not full.isEmpty():
+            anew = _built(index.due.join(full, _shard(self.shards) == full.shard, "left_semi"), self.shards)
+            index.filters = checkpointed(filters.where("filter IS NOT NULL").union(anew))
+        return index
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         return self._with(docs, 1, id_col, text_col)
@@ -160,41 +229,32 @@ class LineIndex:
         Keys that enough documents hold lose all their lines except in the largest document that holds them;
         there all stay. A null or empty text is one empty line. A null id is a document like any other, smaller
         than the rest, and all rows with null ids are that document, as all rows with one id are one. Other
-        columns are ignored; an empty table gives an empty result. The due keys are broadcast if they take at
+        columns are ignored; an empty table gives an empty result. The filters and the due keys are broadcast if they take at
         most ``broadcast_bytes``; else each shard of the filters meets its share of the lines in a shuffle.
         """
-        exact = checkpointed(due(self.refs, self.least_docs))
-        n = exact.count()
-        if n * 48 <= broadcast_bytes:
-            return _apply_broadcast(docs, exact, id_col, text_col, self.least_length, keep)
-        return _apply_sharded(docs, exact, id_col, text_col, self.least_length, keep)
-
-
-def _shards(k1: np.ndarray) -> np.ndarray:
-    return (k1 >> np.uint64(20)) % np.uint64(SHARDS)
+        filters = self.filters.agg(F.sum(F.length("filter"))).head()[0] or 0
+        if self.due.count() * 48 + filters <= broadcast_bytes:
+            return _apply_broadcast(docs, self, id_col, text_col, keep)
+        return _apply_sharded(docs, self, id_col, text_col, keep)
 
 
 class Due:
-    """The due keys of some shards: a filter and an exact table for each."""
+    """A filter and an exact table for each shard."""
 
-    def __init__(self, k1: np.ndarray, k2: np.ndarray, keeper: list) -> None:
-        self.filters, self.exact = {}, {}
-        shard = _shards(k1)
-        for s in np.unique(shard):
-            at = np.flatnonzero(shard == s)
-            self.filters[int(s)] = CuckooFilter(k1[at])
-            self.exact[int(s)] = {(int(k1[i]), int(k2[i])): keeper[i] for i in at}
+    def __init__(self, shards: int, filters: dict[int, bytes], k1: np.ndarray, k2: np.ndarray, keeper: list) -> None:
+        self.shards, self.filters = shards, {s: CuckooFilter.read(f) for s, f in filters.items()}
+        self.exact = {(int(a), int(b)): k for a, b, k in zip(k1, k2, keeper)}
 
     def keepers(self, keys: list[tuple[int, int]]) -> dict[int, object]:
         """For each of ``keys`` that is due: its place in the list, and its largest document."""
         k1 = np.fromiter((a for a, _ in keys), np.uint64, len(keys))
-        shard, out = _shards(k1), {}
+        shard, out = k1.view(np.int64) % self.shards, {}
         for s in np.unique(shard):
             if int(s) in self.filters:
                 at = np.flatnonzero(shard == s)
                 for i in at[self.filters[int(s)].might_contain(k1[at])]:
-                    if keys[i] in self.exact[int(s)]:
-                        out[int(i)] = self.exact[int(s)][keys[i]]
+                    if keys[i] in self.exact:
+                        out[int(i)] = self.exact[keys[i]]
         return out
 
 
@@ -231,10 +291,12 @@ def _named(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) ->
     return df.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *kept)
 
 
-def _apply_broadcast(docs: DataFrame, exact: DataFrame, id_col: str, text_col: str, least_length: int, keep: tuple[str, ...]) -> DataFrame:
-    rows = exact.select("k1", "k2", "keeper").collect()  # the caller has counted them
+def _apply_broadcast(docs: DataFrame, index: LineIndex, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    rows = index.due.select("k1", "k2", "keeper").collect()  # the caller has counted them, and the bytes of the filters
+    filters = {r["shard"]: bytes(r["filter"]) for r in index.filters.collect()}
     k1, k2 = (np.array([r[i] for r in rows], np.int64).view(np.uint64) for i in (0, 1))
-    shared = docs.sparkSession.sparkContext.broadcast(Due(k1, k2, [r[2] for r in rows]))
+    shared = docs.sparkSession.sparkContext.broadcast(Due(index.shards, filters, k1, k2, [r[2] for r in rows]))
+    least_length = index.least_length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,23 +307,24 @@ def _apply_broadcast(docs: DataFrame, exact: DataFrame, id_col: str, text_col: s
     return _named(slim.mapInArrow(run, schema), id_col, text_col, keep)
 
 
-def _apply_sharded(docs: DataFrame, exact: DataFrame, id_col: str, text_col: str, least_length: int, keep: tuple[str, ...]) -> DataFrame:
+def _apply_sharded(docs: DataFrame, index: LineIndex, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """The same without a broadcast: each shard's lines meet its filter, what passes meets the exact table, and the
     lines to drop meet their documents by id. A shard's lines are salted by document, its filter goes to each salt."""
     kind = docs.schema[id_col].dataType.simpleString()
+    exact, least_length = index.due, index.least_length
     refs = checkpointed(references(docs, id_col, text_col, least_length))
-    shards = max(SHARDS, exact.count() // SHARD_KEYS)
-    salts = max(1, refs.count() // shards // SHARD_KEYS)
-    shard, salt = F.pmod("k1", F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt")
+    salts = max(1, refs.count() // index.shards // SHARD_KEYS)
+    shard, salt = _shard(index.shards).alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
 
-    def probe(lines: pa.Table, keys: pa.Table) -> pa.Table:
-        f = CuckooFilter(keys.column("k1").to_numpy().view(np.uint64))
-        passed = f.might_contain(lines.column("k1").to_numpy().view(np.uint64)) if lines.num_rows else np.zeros(0, bool)
+    def probe(lines: pa.Table, filters: pa.Table) -> pa.Table:
+        passed = np.zeros(lines.num_rows, bool)
+        if lines.num_rows and filters.num_rows:
+            passed = CuckooFilter.read(filters.column("filter")[0].as_py()).might_contain(lines.column("k1").to_numpy().view(np.uint64))
         return lines.select(["k1", "k2", "doc"]).filter(pa.array(passed))
 
     left = refs.select("k1", "k2", "doc", shard, salt).groupBy("shard", "salt")
-    right = exact.select("k1", shard, copies).groupBy("shard", "salt")
+    right = index.filters.select("shard", "filter", copies).groupBy("shard", "salt")
     possible = left.cogroup(right).applyInArrow(probe, f"k1 long, k2 long, doc {kind}")
     drop = possible.join(exact.select("k1", "k2", "keeper"), ["k1", "k2"]).where("NOT (doc <=> keeper)")
     drop = drop.groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))  # at most the lines of one document

@@ -359,12 +359,33 @@ def test_line_dedup_equals_brute_force(docs, broadcast_bytes):
 
 
 def test_line_index_is_reversible(docs):
+    """Filters are kept through insertions and deletions, and hold what fresh ones hold; results are read through them."""
     a, b = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    both = lambda x: sorted(map(tuple, x.refs.collect()))
+    held = lambda x: {r["shard"]: c for r in x.filters.collect() if (c := lines.CuckooFilter.read(bytes(r["filter"])).contents())}
     index = lines.LineIndex.of(a)
     after = index.insert(b)
-    both = lambda x: sorted(map(tuple, x.refs.collect()))
-    assert both(after.delete(b)) == both(index)
-    assert both(after) == both(lines.LineIndex.of(a.union(b)))
+    back = after.delete(b)
+    again = back.insert(b)
+    fresh = lines.LineIndex.of(a.union(b))
+    assert both(back) == both(index) and both(after) == both(again) == both(fresh)
+    assert held(back) == held(index) and held(after) == held(again) == held(fresh) and held(after) != held(index)
+    rows = [r for r in rows_of(docs) if r[0] is not None]
+    for broadcast_bytes in (1 << 20, 0):
+        got = again.apply(a.union(b), broadcast_bytes=broadcast_bytes).collect()
+        assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == slow_lines(rows)
+        got = back.apply(a, broadcast_bytes=broadcast_bytes).collect()
+        assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == slow_lines([r for r in rows if r[0] % 2 == 0])
+
+
+def test_full_filters_are_built_anew(spark, monkeypatch):
+    line = lambda k: f"line number {k} of a good length, which many documents hold"
+    one = spark.createDataFrame([(i, line(0)) for i in range(5)], "doc_id long, text string")
+    many = spark.createDataFrame([(i, "\n".join(map(line, range(1, 400)))) for i in range(10, 16)], "doc_id long, text string")
+    index = lines.LineIndex.of(one).insert(many)
+    assert sum(lines.CuckooFilter.read(bytes(r["filter"])).keys for r in index.filters.collect()) == 400
+    out = index.apply(many.union(one)).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in out} == {i: 399 * (i < 15) if i > 9 else i < 4 for i in (*range(5), *range(10, 16))}
 
 
 def test_cuckoo_filter():
