@@ -1,29 +1,30 @@
 """License scans by diagonal voting.
 
-All rolling word 2-grams of a text are hashed and joined with the 2-grams of the templates. A hit at word
-p of the text and word q of the template votes for diagonal p - q; a template that stands in the text
-verbatim has all its votes on one diagonal, and an insertion or omission shifts the rest to a diagonal
-close by. Votes are aggregated by diagonal, neighbouring diagonals are merged, and the merged spans are
-verified: enough of the template's 2-grams, in a span that isn't much longer than the template. The join
+All rolling word k-grams of a text are hashed and joined with those of the templates: 2-grams for short templates, 3-grams
+for notices and whole license texts. A hit at word p of the text and word q of the template votes for diagonal p - q; a
+template that stands in the text verbatim has all its votes on one diagonal, and an insertion or omission shifts the rest to
+a diagonal close by. Votes are aggregated by diagonal, neighbouring diagonals are merged, and the merged spans are
+verified: enough of the template's words, in a span that isn't much longer than the template. The join
 compares the words behind equal hashes, so a hit is exact.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, ascii_lower
 
 #: What parts words once A-Z are lower-cased: ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A template's 2-grams are bits of a long.
-MOST_WORDS = 64
-#: Diagonals so close are merged: so many words put in or left out within a template.
+#: Words of a template whose places are bits of one long.
+SLOT = 64
+#: Diagonals so close are merged: so many words put in or left out at one place within a template.
 DRIFT = 3
-#: A span counts if so many of the template's 2-grams are found, of a short notice all, as every word
+#: A span counts if it has so many of a template's words, of a template of less than ``SHORT`` words all, as every word
 #: matters there ...
 COVERAGE = 0.8
 SHORT = 12
@@ -59,74 +60,119 @@ NOTICES = (
 )
 
 
+#: Whole license texts, in files beside this module, named by their labels.
+WHOLE = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "mit")
+
+
 @dataclass(frozen=True)
 class Template:
     words: tuple[str, ...]
     label: str
     base: bool
 
+    @property
+    def k(self) -> int:
+        """Words of a gram."""
+        return 2 if len(self.words) < SHORT else 3
+
+    @property
+    def needed(self) -> float:
+        return 1.0 if self.base or len(self.words) < SHORT else COVERAGE
+
+
+def words_of(text: str) -> tuple[str, ...]:
+    """The words of an ASCII text."""
+    return tuple("".join(c if c.isalnum() else " " for c in text.lower()).split())
+
 
-def templates(base=BASE_PHRASES, notices=NOTICES) -> list[Template]:
-    out = [Template(tuple(p.split()), label, b) for group, b in ((base, True), (notices, False)) for p, label in group]
-    if any(not 2 <= len(t.words) <= MOST_WORDS for t in out):
-        raise ValueError(f"a template needs 2 to {MOST_WORDS} words")
+def whole_texts() -> list[tuple[str, str]]:
+    folder = resources.files(__package__) / "license_texts"
+    return [((folder / f"{label}.txt").read_text("ascii"), label) for label in WHOLE]
+
+
+def templates(base=BASE_PHRASES, notices=NOTICES, texts=None) -> list[Template]:
+    groups = ((base, True), (notices, False), (whole_texts() if texts is None else texts, False))
+    out = [Template(words_of(p), label, b) for group, b in groups for p, label in group]
+    if any(len(t.words) < 2 for t in out):
+        raise ValueError("a template needs 2 words")
     return out
 
 
 def template_grams(spark: SparkSession, wanted: list[Template]) -> DataFrame:
-    """(template, q, a, b, h): each 2-gram of each template, at its position q."""
-    rows = [(k, q, t.words[q], t.words[q + 1]) for k, t in enumerate(wanted) for q in range(len(t.words) - 1)]
-    if sum(len(a.encode()) + len(b.encode()) + 40 for *_, a, b in rows) > BROADCAST_BYTES:
-        raise ValueError("the templates are too large to be broadcast")
-    return spark.createDataFrame(rows, "template int, q int, a string, b string").withColumn("h", F.xxhash64("a", "b"))
+    """(template, q, gram, h): each gram of each template, at its position q."""
+    rows = [(n, q, list(t.words[q : q + t.k])) for n, t in enumerate(wanted) for q in range(len(t.words) - t.k + 1)]
+    return spark.createDataFrame(rows, "template int, q int, gram array<string>").withColumn("h", F.xxhash64("gram"))
+
+
+def _bits(q: Column, k: Column) -> Column:
+    """(slot, mask) of the words q .. q + k - 1, as an array: one or two of them."""
+    one = lambda slot: F.struct(
+        slot.alias("slot"),
+        F.aggregate(F.filter(F.sequence(q, q + k - 1), lambda w: F.floor(w / SLOT) == slot), F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (w % SLOT).cast("int")))).alias("mask"),
+    )
+    return F.array_distinct(F.array(one(F.floor(q / SLOT)), one(F.floor((q + k - 1) / SLOT))))
 
 
-def license_spans(docs: DataFrame, wanted: list[Template], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id_col, n_words, template, diagonal, hits, first, last): one row for each text and diagonal with
-    a vote, and one with a null template for each text.
+def license_spans(docs: DataFrame, wanted: list[Template], id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(row, id, n_words, template, diagonal, slot, mask, first, last): for each text, diagonal with a vote, and ``SLOT`` words of the
+    template, which of them are found, and one row with a null template for each text.
 
-    row numbers the rows of ``docs``, so that rows with equal or null ids stay apart.
+    row numbers the rows of ``docs``, so that rows with equal or null ids stay apart. The templates are broadcast if they
+    take at most ``broadcast_bytes``; else the words are dealt out by their hashes, and AQE splits a frequent one.
     """
     words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), lambda w: w != "")
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
     d = d.select("row", "id", "words", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("p", "w"))
-    d = d.withColumn("w2", F.get("words", F.col("p") + 1)).withColumn("h", F.when(F.col("w2").isNotNull(), F.xxhash64("w", "w2")))
-    g = F.broadcast(template_grams(docs.sparkSession, wanted))
-    hits = d.join(g, (d.h == g.h) & (d.w == g.a) & (d.w2 == g.b), "left")
+    sizes = sorted({t.k for t in wanted} | {2})
+    grams = [F.array(*[F.get("words", F.col("p") + i) for i in range(k)]) for k in sizes]
+    first = sizes[0]  # that of each word is there, if only to keep texts without a hit
+    wholes = F.array(*[F.when((F.col("p") + k <= F.col("n_words")) | F.lit(k == first), g) for k, g in zip(sizes, grams)])
+    d = d.select("row", "id", "n_words", "p", F.explode(F.filter(wholes, lambda g: g.isNotNull())).alias("g"))
+    d = d.withColumn("h", F.xxhash64("g"))
+    g = template_grams(docs.sparkSession, wanted)
+    small = sum(len(w.encode()) + 16 for t in wanted for w in t.words) * 4 <= broadcast_bytes
+    g = F.broadcast(g) if small else g.hint("merge")
+    hits = d.join(g, (d.h == g.h) & (d.g == g.gram), "left")
     hits = hits.where("template IS NOT NULL OR coalesce(p, 0) = 0")
-    return hits.groupBy("row", "id", "n_words", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, q)")).alias("hits"), F.min("p").alias("first"), F.max(F.col("p") + 1).alias("last")
+    k = F.size("gram")
+    hits = hits.withColumn("b", F.explode_outer(F.when(F.col("template").isNotNull(), _bits(F.col("q"), k))))
+    return hits.groupBy("row", "id", "n_words", "template", (F.col("p") - F.col("q")).alias("diagonal"), F.col("b.slot").alias("slot")).agg(
+        F.bit_or("b.mask").alias("mask"), F.min("p").alias("first"), F.max(F.col("p") + k - 1).alias("last")
     )
 
 
-def license_scan(docs: DataFrame, wanted: list[Template] | None = None, id_col: str = "doc_id", text_col: str = "text", drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
+def license_scan(docs: DataFrame, wanted: list[Template] | None = None, id_col: str = "doc_id", text_col: str = "text", drift: int = DRIFT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places where all words of a base phrase stand one after another, first_word and
     last_word are the smallest and largest start of these (else null). labels has the base labels and
-    those of every notice of which ``coverage`` of the 2-grams (all, if it has less than ``SHORT`` words) stand
-    on neighbouring diagonals; both lists
-    are distinct, sorted and comma-joined, empty if nothing is found. score is the largest share of a
-    template's 2-grams found in a span, 0 if there is none. Null and empty texts have no words. Rows with
-    equal or null ids stay apart; other columns are ignored; an empty table gives an empty result.
+    those of every template of which ``COVERAGE`` of the words (all, if it has less than ``SHORT``) are in grams found on
+    neighbouring diagonals; both lists are distinct, sorted and comma-joined, empty if nothing is found. score is the
+    largest share of a template's words found in a span, 0 if there is none. Null and empty texts have no words. Templates
+    and texts may be of any length. Rows with equal or null ids stay apart; other columns are ignored; an empty table gives an
+    empty result.
     """
     wanted = wanted or templates()
     spark = docs.sparkSession
-    about = F.broadcast(spark.createDataFrame([(k, len(t.words) - 1, t.label, t.base) for k, t in enumerate(wanted)], "template int, grams int, label string, is_base boolean"))
-    votes = license_spans(docs, wanted, id_col, text_col).join(about, "template", "left")
+    about = spark.createDataFrame([(n, len(t.words), t.label, t.base, t.needed) for n, t in enumerate(wanted)], "template int, length int, label string, is_base boolean, needed double")
+    about = F.broadcast(about) if len(wanted) * 64 <= broadcast_bytes else about
+    votes = license_spans(docs, wanted, id_col, text_col, broadcast_bytes).join(about, "template", "left")
     of = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(of) > drift) | F.col("is_base")
-    votes = votes.withColumn("own", F.bit_count("hits") / F.col("grams"))
+    ahead = F.col("diagonal") - F.lag("diagonal").over(of)
+    apart = (ahead > drift) | (F.col("is_base") & (ahead > 0))
+    votes = votes.withColumn("own", F.sum(F.bit_count("mask")).over(Window.partitionBy("row", "template", "diagonal")))
     votes = votes.withColumn("island", F.sum(F.when(apart, 1).otherwise(0)).over(of))
-    spans = votes.groupBy("row", "id", "n_words", "template", "grams", "label", "is_base", "island").agg(
-        F.bit_or("hits").alias("hits"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("own").alias("own"), F.min("diagonal").alias("diagonal")
+    key = ("row", "id", "n_words", "template", "length", "label", "is_base", "needed", "island")
+    slots = votes.groupBy(*key, "slot").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("own").alias("own"), F.min("diagonal").alias("diagonal"))
+    spans = slots.groupBy(*key).agg(
+        F.sum(F.bit_count("mask")).alias("merged"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("own").alias("own"), F.min("diagonal").alias("diagonal")
     )
-    # Verified: a whole phrase on its diagonal, or enough of a notice, on one diagonal or in a span of about its length.
-    short = F.col("last") - F.col("first") + 1 <= STRETCH * (F.col("grams") + 1)
-    found = F.when(short & ~F.col("is_base"), F.greatest(F.col("own"), F.bit_count("hits") / F.col("grams"))).otherwise(F.col("own"))
+    # Verified: enough of a template on one diagonal, or in a span of about its length.
+    short = F.col("last") - F.col("first") + 1 <= STRETCH * F.col("length")
+    found = F.when(short, F.greatest("own", "merged")).otherwise(F.col("own")) / F.col("length")
     spans = spans.withColumn("found", F.coalesce(found, F.lit(0.0)))
-    place = F.col("is_base") & (F.col("found") >= 1.0)
-    seen = place | (~F.col("is_base") & (F.col("found") >= F.when(F.col("grams") + 1 < SHORT, 1.0).otherwise(coverage)))
+    seen = F.col("found") >= F.col("needed")
+    place = F.col("is_base") & seen
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")  # noqa: E731  at most one of each label
     return spans.groupBy("row", "id", "n_words").agg(
         F.count(F.when(place, 1)).alias("n_base"),

@@ -145,25 +145,24 @@ SELECT doc_id, size, source_size, target, size * times AS taken,
 FROM (SELECT *, (mid < target)::BIGINT + (mid + source_size < target)::BIGINT + (mid + 2 * source_size < target)::BIGINT AS times FROM o)
 """
 
-_TEMPLATES = ", ".join(f"({k}, '{t.label}', {t.base}, string_split('{' '.join(t.words)}', ' '))" for k, t in enumerate(licenses.templates()))
+_TEMPLATES = ", ".join(f"({n}, '{t.label}', {t.base}, {t.k}, {t.needed}::DOUBLE, string_split('{' '.join(t.words)}', ' '))" for n, t in enumerate(licenses.templates()))
 
 _OP10 = rf"""
-WITH t AS (SELECT *, len(ws) - 1 AS grams FROM (VALUES {_TEMPLATES}) AS v(template, label, is_base, ws)),
-g AS (SELECT template, q, ws[q + 1] AS a, ws[q + 2] AS b FROM (SELECT template, ws, unnest(range(grams)) AS q FROM t)),
+WITH t AS (SELECT *, len(ws) AS length FROM (VALUES {_TEMPLATES}) AS v(template, label, is_base, k, needed, ws)),
+g AS (SELECT template, k, q, array_to_string(ws[q + 1 : q + k], ' ') AS gram FROM (SELECT *, unnest(range(length - k + 1)) AS q FROM t)),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-w AS (SELECT r, p, ws[p + 1] AS a, ws[p + 2] AS b FROM (SELECT r, ws, unnest(range(len(ws) - 1)) AS p FROM d)),
-votes AS (
-  SELECT r, template, p - q AS diagonal, bit_or(1::BIGINT << q) AS hits, min(p) AS first, max(p) + 1 AS last
-  FROM w JOIN g ON w.a = g.a AND w.b = g.b GROUP BY r, template, diagonal),
-steps AS (SELECT votes.*, label, is_base, grams, is_base OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {licenses.DRIFT} AS apart FROM votes JOIN t USING (template)),
+w AS (SELECT r, p, 2 AS k, ws[p + 1] || ' ' || ws[p + 2] AS gram FROM (SELECT r, ws, unnest(range(len(ws) - 1)) AS p FROM d)
+      UNION ALL SELECT r, p, 3, ws[p + 1] || ' ' || ws[p + 2] || ' ' || ws[p + 3] FROM (SELECT r, ws, unnest(range(len(ws) - 2)) AS p FROM d)),
+hits AS (SELECT r, template, p - q AS diagonal, p, p + k - 1 AS until, unnest(range(q, q + k)) AS word FROM w JOIN g USING (k, gram)),
+votes AS (SELECT r, template, diagonal, count(DISTINCT word) AS own FROM hits GROUP BY r, template, diagonal),
+steps AS (SELECT votes.*, is_base OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {licenses.DRIFT} AS apart FROM votes JOIN t USING (template)),
 islands AS (SELECT *, count(*) FILTER (WHERE apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM steps),
 spans AS (
-  SELECT r, template, label, is_base, grams, bit_count(bit_or(hits))::DOUBLE / grams AS merged, max(bit_count(hits)::DOUBLE / grams) AS own,
-         max(last) - min(first) + 1 <= {licenses.STRETCH} * (grams + 1) AS short, min(diagonal) AS diagonal
-  FROM islands GROUP BY r, template, label, is_base, grams, island),
-found AS (SELECT *, CASE WHEN short AND NOT is_base THEN greatest(own, merged) ELSE own END AS share FROM spans),
-seen AS (SELECT *, is_base AND share >= 1 AS place, share >= CASE WHEN is_base OR grams + 1 < {licenses.SHORT} THEN 1 ELSE {licenses.COVERAGE} END AS label_seen FROM found)
-SELECT doc_id, len(any_value(ws))::BIGINT AS n_words, count(*) FILTER (WHERE place) AS n_base,
+  SELECT r, template, island, max(own) AS own, count(DISTINCT word) AS merged, max(until) - min(p) + 1 AS span, min(diagonal) AS diagonal
+  FROM hits JOIN islands USING (r, template, diagonal) GROUP BY r, template, island),
+found AS (SELECT *, CASE WHEN span <= {licenses.STRETCH} * length THEN greatest(own, merged) ELSE own END::DOUBLE / length AS share FROM spans JOIN t USING (template)),
+seen AS (SELECT *, share >= needed AS label_seen, is_base AND share >= needed AS place FROM found)
+SELECT doc_id, len(any_value(d.ws))::BIGINT AS n_words, count(*) FILTER (WHERE place) AS n_base,
        min(diagonal) FILTER (WHERE place) AS first_word, max(diagonal) FILTER (WHERE place) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place), '') AS base_labels,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE label_seen), '') AS labels,

@@ -674,6 +674,9 @@ def test_license_base_equals_brute_force(docs):
 def test_license_notices(spark):
     apache = licenses.NOTICES[5][0]
     words = apache.split()
+    texts = dict((label, text) for text, label in licenses.whole_texts())
+    bsd = texts["bsd-3-clause"].replace("copyright holder", "Some Project").replace("COPYRIGHT HOLDERS", "REGENTS")
+    body = texts["apache-2.0"].split()
     cases = {
         1: ("Released under the MIT License.", {"mit"}),
         2: ("x " * 50 + apache.title() + " y" * 30, {"apache-2.0"}),
@@ -684,13 +687,24 @@ def test_license_notices(spark):
         7: ("This work is licensed under the GNU General Public License, version 3.", {"gpl", "gpl-3.0"}),
         8: (("word " * 30 + "all rights reserved ") * 40, {"reserved"}),
         9: ("permission is here", set()),
+        10: ("Licensed under the Apache Software License, Version 2.0", {"apache-2.0"}),  # a word put in
+        11: ("Licensed under the Apache, Version 2.0", set()),  # a word left out
+        12: ("Copyright (c) someone\n\n" + texts["mit"] * 2, {"mit"}),
+        13: (f"x {bsd} y", {"bsd", "bsd-3-clause"}),
+        14: (texts["bsd-2-clause"], {"bsd", "bsd-2-clause"}),
+        15: (" ".join(w for i, w in enumerate(body) if i % 97), {"apache-2.0"}),  # a word left out every 97
+        16: (" ".join(body[: len(body) // 2]), set()),
+        17: (" ".join(r for w in texts["mit"].split() for r in (w, "x")), set()),
     }
-    got = licenses.license_scan(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")).collect()
-    for r in got:
-        assert set(filter(None, r["labels"].split(","))) == cases[r["doc_id"]][1], r
-        assert 0 <= r["score"] <= 1
-        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
-    assert {r["doc_id"]: r["n_base"] for r in got}[6] == 3 and {r["doc_id"]: r["n_base"] for r in got}[8] == 40
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
+    for broadcast_bytes in (1 << 24, 0):
+        got = licenses.license_scan(docs, broadcast_bytes=broadcast_bytes).collect()
+        for r in got:
+            assert set(filter(None, r["labels"].split(","))) == cases[r["doc_id"]][1], r
+            assert 0 <= r["score"] <= 1
+            assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+        assert {r["doc_id"]: r["n_base"] for r in got}[6] == 3 and {r["doc_id"]: r["n_base"] for r in got}[8] == 40
+        assert len(got) == len(cases)
 
 
 # Queries and pipeline
