@@ -3,8 +3,8 @@
 Candidates come from two searches over distinct sets of shingles: bands of minimum hashes, which lose a pair at a
 similarity of 0.8 with a chance of 0.0004, and SimHash fingerprints within 3 bits. Every link is then verified on
 the sets themselves. Members of a bucket are first compared with one of them, the hub, which ties most of a large
-group together. Whatever is still apart in a bucket is compared pair by pair, in a large bucket all pairs that share one of
-their rarest shingles, as every pair alike enough does: so no candidate is passed over.
+group together, and in a large bucket with a few more. Whatever is still apart is compared pair by pair, in a large bucket
+all pairs that share one of their rarest shingles, as every pair alike enough does: so no candidate is passed over.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at similarity s meets in a bucket with a chance of 1 - (1 - s ** ROWS) ** BANDS.
 BANDS, ROWS = 20, 5
-#: Buckets of up to so many texts that are still apart are compared pair by pair, others by their rarest shingles.
-SMALL = 32
+#: Buckets of up to so many texts that are still apart are compared pair by pair; larger ones with so many more hubs, and then
+#: by their rarest shingles.
+SMALL, STARS = 32, 2
 CHUNK = 2048
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -104,18 +105,21 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of ``nodes`` (node, root) under different roots that may be alike, none that is left out.
 
-    Two sets with a Jaccard similarity of s share one of the n - ceil(s * n) + 1 shingles of either that come first in any
-    common order. Here the rarest among ``nodes`` come first, so that a passage which many texts share makes no pairs.
+    Two sets with a Jaccard similarity of s have s / (1 + s) * (n + m) shingles in common, and so one of the n - ceil(s * n) + 1
+    of either that come first in any common order; the first one that they share, with what comes after it in
+    either, must still make up that number. Here the rarest among ``nodes`` come first, so that a passage which many texts share
+    makes no pairs.
     """
     each = sets.join(nodes, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1
     shared = each.join(often, "shingle").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))  # of one text
     alone = F.col("n") - F.size("s")  # shingles that no other node has come before all others
-    keyed = shared.withColumn("k", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), (first - alone).cast("int"))))).select("node", "root", "n", F.col("k.shingle").alias("key"))
-    keyed = checkpointed(keyed)
-    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n")]) for side in "ab")
-    near = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9)
+    keyed = shared.select("node", "root", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), (first - alone).cast("int")))).alias("at", "k"))
+    keyed = checkpointed(keyed.select("node", "root", (F.col("n") - F.col("alone") - F.col("at") - 1).alias("after"), "n", F.col("k.shingle").alias("key")))
+    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "after")]) for side in "ab")
+    common = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    near = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9) & (F.least("after_a", "after_b") + 1 >= common)
     return a.join(b, "key").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -144,15 +148,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = checkpointed(shingle_sets(docs, worded.join(members, "node", "left_semi").select("t").distinct(), text_col, shingle))
     links = checkpointed(verified(pairs, sets, similarity))
     roots = checkpointed(components(links))
-    # What is left are buckets whose members are not all in one component.
-    of = keyed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = checkpointed(of.join(mixed.select("key", "n"), "key"))
+    for star in range(1, STARS + 2):
+        # What is left are buckets whose members are not all in one component.
+        of = keyed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        hub = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(star))).alias("hub")
+        mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        left = checkpointed(of.join(mixed.select("key", "n", "hub"), "key"))
+        large = left.where(F.col("n") > SMALL)
+        if star > STARS or large.isEmpty():
+            break
+        pairs = large.where("root <> hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+        links = links.union(checkpointed(verified(pairs, sets, similarity)))
+        roots = checkpointed(components(links))
     one, two = (left.where(F.col("n") <= SMALL).select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
     pairs = one.join(two, "key").where("root_a <> root_b AND a < b").select("a", "b")
-    large = left.where(F.col("n") > SMALL).select("node", "root").distinct()
     if not large.isEmpty():
-        pairs = pairs.union(rare_pairs(large, sets, similarity))
+        pairs = pairs.union(rare_pairs(large.select("node", "root").distinct(), sets, similarity))
     found = checkpointed(verified(pairs.distinct(), sets, similarity))
     if not found.isEmpty():
         roots = checkpointed(components(links.union(found)))
