@@ -123,12 +123,12 @@ def license_spans(docs: DataFrame, wanted: list[Template], id_col: str = "doc_id
     words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), lambda w: w != "")
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
     d = d.select("row", "id", "words", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("p", "w"))
+    # Words by name, without their text's array, before the second explode: no row carries the text.
     sizes = sorted({t.k for t in wanted} | {2})
-    grams = [F.array(*[F.get("words", F.col("p") + i) for i in range(k)]) for k in sizes]
-    first = sizes[0]  # that of each word is there, if only to keep texts without a hit
-    wholes = F.array(*[F.when((F.col("p") + k <= F.col("n_words")) | F.lit(k == first), g) for k, g in zip(sizes, grams)])
-    d = d.select("row", "id", "n_words", "p", F.explode(F.filter(wholes, lambda g: g.isNotNull())).alias("g"))
-    d = d.withColumn("h", F.xxhash64("g"))
+    d = d.select("row", "id", "n_words", "p", "w", *[F.get("words", F.col("p") + i).alias(f"w{i}") for i in range(1, sizes[-1])])
+    gram = lambda k: F.array("w", *[F.col(f"w{i}") for i in range(1, k)])
+    whole = [F.when(F.col(f"w{k - 1}").isNotNull() | F.lit(k == sizes[0]), gram(k)) for k in sizes]  # one at least, if only to keep texts without a hit
+    d = d.select("row", "id", "n_words", "p", F.explode(F.array(*whole)).alias("g")).where("g IS NOT NULL").withColumn("h", F.xxhash64("g"))
     g = template_grams(docs.sparkSession, wanted)
     small = sum(len(w.encode()) + 16 for t in wanted for w in t.words) * 4 <= broadcast_bytes
     g = F.broadcast(g) if small else g.hint("merge")
