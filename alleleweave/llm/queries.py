@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,8 @@ URL_RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Names of sites that the filter lists beside the rules, each under three domains.
-LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-LISTED_SITES = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
+#: The list that stands beside the rules.
+LISTED_URLS = (resources.files(__package__) / "listed_urls.txt").read_text("ascii").splitlines()
 
 
 def remainder(id_col: str, by: int) -> Column:
@@ -44,8 +44,8 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = [(h, p, v, True) for h, p, v in URL_RULES] + [(h, "", "block", False) for h in LISTED_SITES]
-    return urls.url_filter(read_table(spark, sf_dir, "pages").select("page_id", "url"), urls.entries(spark, listed))
+    listed = urls.entries(spark, [(h, p, v, True) for h, p, v in URL_RULES]).union(urls.listed_entries(spark, LISTED_URLS))
+    return urls.url_filter(read_table(spark, sf_dir, "pages").select("page_id", "url"), listed)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,17 +93,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
+_HOST = "translate(regexp_extract({}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract({}, '^[^/?#]*([^?#]*)', 1)"
+_CANONICAL = "regexp_replace(regexp_replace(regexp_replace({}, '^.*@', '', 's'), ':[0-9]*$', ''), '\\.+$', '')"
 
 _OP3 = f"""
 WITH cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-split AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM cut),
+split AS (SELECT page_id, {_HOST.format("rest")} AS host, {_PATH.format("rest")} AS path FROM cut),
+canonical AS (SELECT *, {_CANONICAL.format("host")} AS chost FROM split),
+list AS (SELECT unnest([{", ".join(f"'{x}'" for x in LISTED_URLS if x.strip() and not x.startswith("#"))}]) AS url),
+entry AS (
+  SELECT DISTINCT {_CANONICAL.format(_HOST.format("rest"))} AS lhost, CASE WHEN {_PATH.format("rest")} = '/' THEN '' ELSE {_PATH.format("rest")} END AS lpath
+  FROM (SELECT substr(url, strpos(url, '://') + 3) AS rest FROM list)),
+hit AS (
+  SELECT page_id, arg_max(lhost || lpath, [length(lhost || lpath), length(lhost)]) AS listed
+  FROM canonical JOIN entry ON (chost = lhost OR ends_with(chost, '.' || lhost)) AND starts_with(path, lpath) GROUP BY page_id),
 ruled AS (
-  SELECT *, CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))} END AS rule,
-         CASE {" ".join(f"WHEN {_FITS.format(h=h, p='')} THEN '{h}'" for h in LISTED_SITES)} END AS listed
-  FROM split)
+  SELECT split.*, listed, CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))} END AS rule
+  FROM split LEFT JOIN hit USING (page_id))
 SELECT page_id, host, path, rule, listed,
        CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in URL_RULES)} WHEN listed IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled

@@ -202,19 +202,21 @@ def slow_url(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
     host, path = ascii_lower(m[1]), m[2]
-    fits = [(h, p, v, own) for h, p, v, own in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    canonical = re.sub(r":[0-9]*$", "", host.rpartition("@")[2]).rstrip(".")
+    fits = [(h, p, v, own) for h, p, v, own in rules for x in [host if own else canonical] if x and (x == h or x.endswith("." + h)) and path.startswith(p)]
     best = lambda own: max(((len(h + p), len(h), v, h + p) for h, p, v, o in fits if o == own), default=None)
     r, o = best(True), best(False)
-    return host, path, r and r[3], (r or o or (0, 0, "allow"))[2]
+    return host, path, r and r[3], (r or o or (0, 0, "allow"))[2], o and o[3]
 
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_url_filter_equals_brute_force(spark, broadcast_bytes):
-    cases = [None, "", "x", "://", "http://", "http://COM/en/1", "http://a.Example.com/en/7?x", "http://example.com/en/8", "http://xexample.com/en/7", "https://example.net/de/8#y", "https://net/de/", "http://b.org/es", "http://b.org/es/?q", "http://example.com:80/en/7", "a://b://c.com/en/", "http://spam-farm.example.org", "http://m.cheap-pills.example.com/en/7/x", "http://exämple.com/en/\nx", "http://..com/en/", "http://www.a.b.c.d.e.com/en/zzz"]
-    rules = [(h, p, v, True) for h, p, v in queries.URL_RULES] + [(h, "", "block", False) for h in queries.LISTED_SITES]
+    cases = ['http://me:pw@Casino-Win.example.net.:8080/x', 'http://a.files.example.com:80/warez/1', 'http://files.example.com/warez', 'http://x@y@free-bets.example.org', 'http://spam-farm.example.com..?q', 'http://example.com:80/en/7', 'http://:80/', None, "", "x", "://", "http://", "http://COM/en/1", "http://a.Example.com/en/7?x", "http://example.com/en/8", "http://xexample.com/en/7", "https://example.net/de/8#y", "https://net/de/", "http://b.org/es", "http://b.org/es/?q", "http://example.com:80/en/7", "a://b://c.com/en/", "http://spam-farm.example.org", "http://m.cheap-pills.example.com/en/7/x", "http://exämple.com/en/\nx", "http://..com/en/", "http://www.a.b.c.d.e.com/en/zzz"]
+    rules = [(h, p, v, True) for h, p, v in queries.URL_RULES] + [(x["host"], x["path"], "block", False) for x in urls.listed_entries(spark, queries.LISTED_URLS).collect()]
+    assert ("casino-win.example.com", "", "block", False) in rules and ("files.example.net", "/warez/", "block", False) in rules and len(rules) == 26
     pages = spark.createDataFrame([(n, u, "x", "y") for n, u in enumerate(cases * 2)], "page_id long, url string, host string, rule string")
     got = urls.url_filter(pages, urls.entries(spark, rules), broadcast_bytes=broadcast_bytes).collect()
-    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == {n: slow_url(u, rules) for n, u in enumerate(cases * 2)}
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["listed"]) for r in got} == {n: slow_url(u, rules) for n, u in enumerate(cases * 2)}
 
 
 def test_bloom_filter_passes_every_key(spark):
