@@ -2,8 +2,8 @@
 
 Candidates come from two searches over distinct sets of shingles: bands of minimum hashes, which lose a pair at a
 similarity of 0.8 with a chance of 0.0004, and SimHash fingerprints within 3 bits. Every link is then verified on
-the sets themselves. Members of a bucket are first compared with one of them, the hub, which ties most of a large
-group together, and in a large bucket with a few more. Whatever is still apart is compared pair by pair, in a large bucket
+the sets themselves. Members of a bucket are first compared with one of them, the hub, in a large bucket with a few, which
+ties most of a large group together. Whatever is still apart is compared pair by pair, in a large bucket
 all pairs that share one of their rarest shingles, as every pair alike enough does: so no candidate is passed over.
 """
 
@@ -25,9 +25,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at similarity s meets in a bucket with a chance of 1 - (1 - s ** ROWS) ** BANDS.
 BANDS, ROWS = 20, 5
-#: Buckets of up to so many texts that are still apart are compared pair by pair; larger ones with so many more hubs, and then
-#: by their rarest shingles.
-SMALL, STARS = 32, 2
+#: Buckets of up to so many texts have one hub, and what is still apart then is compared pair by pair; larger ones have so
+#: many hubs, and what is still apart is compared by its rarest shingles.
+SMALL, HUBS = 32, 4
 CHUNK = 2048
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -135,7 +135,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = checkpointed(each.groupBy("node").agg(F.min("id").alias("least"), F.min("t").alias("t"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
     worded = nodes.where(F.size("bands") > 0)
     keyed = worded.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
+    # Hubs by the same few orders of all nodes, so that buckets of one group mostly have the same ones.
+    hubs = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(HUBS)]
+    n = F.count(F.lit(1))
+    shared = keyed.groupBy("key").agg(n.alias("n"), F.when(n > SMALL, F.array_distinct(F.array(*hubs))).otherwise(F.array(hubs[0])).alias("hubs")).where("n > 1").select("key", "hubs")
     keyed = checkpointed(keyed.join(shared, "key"))
     by_fp = worded.groupBy("fp").agg(F.min("node").alias("hub"))
     close = simhash.links(worded.select("fp").distinct())
@@ -143,23 +146,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = worded.join(by_fp, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     prints = prints.union(close.join(ends[0], "a").join(ends[1], "b").select("hub_a", "hub_b"))
     # The same hub in most buckets of a group: few different pairs.
-    pairs = checkpointed(prints.union(keyed.where("node <> hub").select("hub", "node")).distinct())
+    pairs = checkpointed(prints.union(keyed.select(F.explode("hubs").alias("hub"), "node").where("node <> hub")).distinct())
     members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = checkpointed(shingle_sets(docs, worded.join(members, "node", "left_semi").select("t").distinct(), text_col, shingle))
     links = checkpointed(verified(pairs, sets, similarity))
     roots = checkpointed(components(links))
-    for star in range(1, STARS + 2):
-        # What is left are buckets whose members are not all in one component.
-        of = keyed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        hub = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(star))).alias("hub")
-        mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        left = checkpointed(of.join(mixed.select("key", "n", "hub"), "key"))
-        large = left.where(F.col("n") > SMALL)
-        if star > STARS or large.isEmpty():
-            break
-        pairs = large.where("root <> hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.union(checkpointed(verified(pairs, sets, similarity)))
-        roots = checkpointed(components(links))
+    # What is left are buckets whose members are not all in one component.
+    of = keyed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = checkpointed(of.join(mixed.select("key", "n"), "key"))
+    large = left.where(F.col("n") > SMALL)
     one, two = (left.where(F.col("n") <= SMALL).select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
     pairs = one.join(two, "key").where("root_a <> root_b AND a < b").select("a", "b")
     if not large.isEmpty():
