@@ -35,9 +35,10 @@ MOST_OF_BYTES = 1 / 32
 FOLDS = 2
 #: Bytes of a word's stem, to which it backs off.
 STEM = 4
-#: Words of the windows whose most toxic is compared, beside the whole text.
-WINDOWS = (1, 4, 20)
-FEATURES = 1 + 2 * (1 + len(WINDOWS))
+#: Words of the windows whose most toxic is compared, beside the whole text, by words and by pairs.
+WINDOWS, PAIR_WINDOWS = (1, 4, 20), (20,)
+FEATURES = 1 + 1 + len(WINDOWS) + 1 + len(PAIR_WINDOWS)
+RIDGE = 0.3
 #: Words, stems and pairs with less than so many contexts in the sample, both classes together, are left to the backoff. So
 #: the model has one of each for so many words of the sample at most, and its size is bounded by the sample's.
 LEAST_COUNT = 5
@@ -49,13 +50,13 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [w for w in (x.strip(STRIP) for x in (text or b"").lower().split()) if w]
 
 
-def _windows(r: np.ndarray) -> list[float]:
+def _windows(r: np.ndarray, sizes: tuple[int, ...]) -> list[float]:
     """The mean, and the largest of each size of window over its size; 0 of no words."""
     if not len(r):
-        return [0.0] * (1 + len(WINDOWS))
+        return [0.0] * (1 + len(sizes))
     sums = np.r_[0.0, np.cumsum(r)]
     out = [sums[-1] / len(r)]
-    for size in WINDOWS:
+    for size in sizes:
         k = min(size, len(r))
         out.append(float((sums[k:] - sums[:-k]).max()) / size)
     return out
@@ -100,7 +101,7 @@ class Ratios:
             key = before * len(self.words) + number
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             two = np.where((self.keys[at] == key) & (before >= 0) & (number >= 0), self.pairs[at], two)
-        return np.array([1.0, *_windows(one), *_windows(two)])
+        return np.array([1.0, *_windows(one, WINDOWS), *_windows(two, PAIR_WINDOWS)])
 
 
 def fit_ratios(texts: list[np.ndarray], toxic: list[int], stem_of: np.ndarray) -> Ratios:
@@ -173,7 +174,7 @@ def packed(r: Ratios, known: dict[bytes, int], stem_number: dict[bytes, int], we
     return Model({w: int(number[k]) for w, k in known.items() if wanted[k]}, {w: int(stem[k]) for w, k in stem_number.items() if told[k]}, small, weights)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 100) -> np.ndarray:
     """Newton's method, halving steps that don't help, on scaled features with a ridge on all but the first weight."""
     mean, scale = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-9
     z = np.c_[x[:, 0], (x[:, 1:] - mean) / scale]
