@@ -7,24 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alleleweave import api
 from alleleweave.functions import contigs, genotype, planning
 from alleleweave.operators import checks, encode, filters
 from alleleweave.plans import testbed
-from alleleweave.plans.testbed import COHORT, MIXED, PHASED, REGION
+from alleleweave.plans.testbed import CONTIG, MIXED, PHASED
+from alleleweave.sources import fasta, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Samples in the files that the testbed writes.
+FILE_SAMPLES = 12
 
 
 def _alt(df: DataFrame) -> DataFrame:
     return df.withColumn("alt", F.array_join("alts", ",")).drop("alts")
 
 
-def _encodable(spark: SparkSession, sf: str, wanted: tuple[str, ...] = MIXED) -> DataFrame:
-    return testbed.with_genotypes(filters.encodable(testbed.variants(spark, sf), REGION), wanted)
+def _cohort(spark: SparkSession, sf: str, records: DataFrame, wanted: tuple[str, ...] = MIXED) -> DataFrame:
+    """``records`` with a call of every sample."""
+    return testbed.with_genotypes(records, wanted, testbed.samples(spark, sf).count())
+
+
+def _single(spark: SparkSession, sf: str, wanted: tuple[str, ...] = MIXED) -> DataFrame:
+    """All records that can be encoded, of every contig, with a call of every sample."""
+    return _cohort(spark, sf, filters.encodable(testbed.variants(spark, sf)), wanted)
 
 
 def _called(spark: SparkSession, sf: str, wanted: tuple[str, ...] = MIXED) -> DataFrame:
-    return encode.calls(_encodable(spark, sf, wanted), testbed.samples(spark, sf))
+    return encode.calls(_single(spark, sf, wanted), testbed.samples(spark, sf))
 
 
 def _doubles(df: DataFrame) -> DataFrame:
@@ -32,19 +42,55 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 
 def _onehot(spark: SparkSession, sf: str, mode: str, wanted: tuple[str, ...]) -> DataFrame:
-    return _doubles(encode.encode_long(testbed.window(spark, sf), testbed.samples(spark, sf), _called(spark, sf, wanted), REGION, mode))
+    """Every sample's sequence over the whole contig."""
+    whole, samples = testbed.region(spark, sf), testbed.samples(spark, sf)
+    records = _cohort(spark, sf, filters.encodable(testbed.variants(spark, sf), whole), wanted)
+    return _doubles(encode.encode_long(testbed.window(spark, sf), samples, encode.calls(records, samples), whole, mode))
 
 
 def vcf_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _alt(testbed.variants(spark, sf))
 
 
+def _from_file(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
+    """Records of an indexed file, with the calls of three of its samples, and the reference's base from a FASTA file."""
+    path, reference = testbed.save_files(spark, sf, fmt, FILE_SAMPLES)
+    source = vcf.VariantFile(spark, path)
+    here = testbed.middle(testbed.region(spark, sf)).on("chr2")
+    records = filters.in_region(source.records(["s7", "s0", "s11"], here), here, overlapping=True)
+    bases = fasta.reference_window(spark, reference, testbed.region(spark, sf).on("chr2"))
+    out = records.join(bases, "pos").withColumn("calls", F.array_join("gts", " "))
+    return _alt(out).select("chrom", "pos", "ref", "alt", "calls", "base")
+
+
+def vcf_file_region(spark: SparkSession, sf: str) -> DataFrame:
+    return _from_file(spark, sf, "vcf.gz")
+
+
+def bcf_file_region(spark: SparkSession, sf: str) -> DataFrame:
+    return _from_file(spark, sf, "bcf")
+
+
+def filtered_file(spark: SparkSession, sf: str) -> DataFrame:
+    """All that can be encoded, written as a filtered file and read again whole."""
+    path, _ = testbed.save_files(spark, sf, "vcf.gz", 1)
+    out = api.ensure_biallelic_snvs(spark, path, region=testbed.region(spark, sf).on("chr3"))
+    return _alt(vcf.VariantFile(spark, out).records()).select("chrom", "pos", "ref", "alt")
+
+
+def file_inspection(spark: SparkSession, sf: str) -> DataFrame:
+    """The report on a BCF file's first 500 records of a region."""
+    path, _ = testbed.save_files(spark, sf, "bcf", FILE_SAMPLES)
+    found = api.inspect(spark, path, 500, testbed.middle(testbed.region(spark, sf)).on("chr4"))
+    return spark.createDataFrame([(int(found["num_samples"]), float(found["frac_non_snv_or_multiallelic"]))], "num_samples long, frac_non_snv_or_multiallelic double")
+
+
 def region_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _alt(filters.in_region(testbed.variants(spark, sf), REGION))
+    return _alt(filters.in_region(testbed.variants(spark, sf), testbed.middle(testbed.region(spark, sf))))
 
 
 def region_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return _alt(filters.in_region(testbed.variants(spark, sf), REGION.on("chr2"), overlapping=True))
+    return _alt(filters.in_region(testbed.variants(spark, sf), testbed.middle(testbed.region(spark, sf)).on("chr2"), overlapping=True))
 
 
 def chrom_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,11 +116,11 @@ def duplicate_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ensure_biallelic_snvs(spark: SparkSession, sf: str) -> DataFrame:
-    return _alt(filters.encodable(testbed.variants(spark, sf), REGION))
+    return _alt(filters.encodable(testbed.variants(spark, sf), testbed.region(spark, sf)))
 
 
 def inspect_report(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.inspect_variants(testbed.variants(spark, sf, numbered=True), COHORT)
+    return checks.inspect_variants(testbed.variants(spark, sf, numbered=True), testbed.samples(spark, sf).count())
 
 
 def sorted_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,31 +128,33 @@ def sorted_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unphased_calls(spark: SparkSession, sf: str) -> DataFrame:
-    v = _encodable(spark, sf)
-    return v.select("chrom", "pos", F.size(F.filter("gts", genotype.unphased)).cast("long").alias("n_unphased")).where("n_unphased > 0")
+    return checks.unphased_calls(_single(spark, sf)).where("n_unphased > 0").select("chrom", "pos", "n_unphased")
 
 
 def sample_subset(spark: SparkSession, sf: str) -> DataFrame:
-    known = testbed.samples(spark, sf).select("sample_id")
-    wanted = testbed.samples(spark, sf).where("sample_idx % 3 = 0").select((F.lit(9) - F.col("sample_idx")).cast("int").alias("sample_idx"), "sample_id")
-    return wanted.join(known, "sample_id").select("sample_idx", "sample_id")
+    """A samples file, ids by account, largest first, without the suppliers in debt, held against the cohort."""
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal > 0").select("s_name", "s_acctbal")
+    wanted = [r["s_name"] for r in suppliers.orderBy(F.desc("s_acctbal"), "s_name").toLocalIterator()]  # as a samples file is read
+    known = [r["sample_id"] for r in testbed.samples(spark, sf).orderBy("sample_idx").toLocalIterator()]
+    vcf.sample_places(known, wanted)
+    return vcf.samples_table(spark, wanted)
 
 
 def gt_dosage(spark: SparkSession, sf: str) -> DataFrame:
     c = _called(spark, sf)
-    return _doubles(c.select("pos", "sample_id", "gt", genotype.dosage(F.col("gt")).alias("dosage")))
+    return _doubles(c.select("chrom", "pos", "sample_id", "gt", genotype.dosage(F.col("gt")).alias("dosage")))
 
 
 def gt_haps(spark: SparkSession, sf: str) -> DataFrame:
     c = _called(spark, sf)
     one, two = genotype.haplotypes(F.col("gt"))
-    return _doubles(c.select("pos", "sample_id", "gt", one.alias("hap1"), two.alias("hap2")))
+    return _doubles(c.select("chrom", "pos", "sample_id", "gt", one.alias("hap1"), two.alias("hap2")))
 
 
 def gt_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the dosage matrix, its columns joined to one string in sample order."""
     row = F.transform("gts", lambda g: genotype.dosage(g).cast("double").cast("string"))
-    return _encodable(spark, sf).select("pos", F.array_join(row, " ").alias("dosages"), F.size("gts").cast("long").alias("n_samples"))
+    return _single(spark, sf).select("chrom", "pos", F.array_join(row, " ").alias("dosages"), F.size("gts").cast("long").alias("n_samples"))
 
 
 def encode_reference(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,14 +162,13 @@ def encode_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reference_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    w = testbed.window(spark, sf)  # a bounded window
-    at = F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"])
-    return w.agg(F.array_join(at, "").alias("sequence"), F.count(F.lit(1)).alias("length"))
+    """The middle of the contig, in pieces."""
+    return testbed.pieces(testbed.window(spark, sf, testbed.middle(testbed.region(spark, sf))))
 
 
 def reference_at_variants(spark: SparkSession, sf: str) -> DataFrame:
-    v = _encodable(spark, sf).select("pos", "ref", F.get("alts", F.lit(0)).alias("alt"))
-    return v.join(F.broadcast(testbed.window(spark, sf)), "pos").select("pos", "ref", "alt", "base")  # a window of len(REGION) rows
+    v = filters.encodable(testbed.variants(spark, sf)).select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"))
+    return v.join(testbed.window(spark, sf), "pos").select("chrom", "pos", "ref", "alt", "base")
 
 
 def onehot_average(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,15 +180,17 @@ def onehot_separate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hap_mean_equals_average(spark: SparkSession, sf: str) -> DataFrame:
-    two = _onehot(spark, sf, "separate", PHASED).groupBy("sample_id", "pos").agg(*[F.avg(c).alias(f"m{c}") for c in "acgt"])
-    one = _onehot(spark, sf, "average", PHASED)
-    same = F.expr(" AND ".join(f"{c} = m{c}" for c in "acgt"))
-    return one.join(two, ["sample_id", "pos"]).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_different"))
+    """Positions, over all samples, at which the mean of both haplotypes is and isn't the average; two sums over rows."""
+    two = _onehot(spark, sf, "separate", PHASED).select("sample_id", "pos", *[(F.col(c) / 2).alias(c) for c in "acgt"], F.lit(0).alias("n"))
+    one = _onehot(spark, sf, "average", PHASED).select("sample_id", "pos", *[(-F.col(c)).alias(c) for c in "acgt"], F.lit(1).alias("n"))
+    each = one.union(two).groupBy("sample_id", "pos").agg(*[F.sum(c).alias(c) for c in "acgt"], F.sum("n").alias("n"))
+    same = F.expr(" AND ".join(f"{c} = 0" for c in "acgt"))
+    return each.agg(F.sum("n").alias("n_rows"), F.count_if(~same).alias("n_different"))
 
 
 def onehot_batches(spark: SparkSession, sf: str, size: int = 4) -> DataFrame:
     batch = (F.floor(F.col("sample_idx") / size) * size).cast("int").alias("batch_start")
-    return _onehot(spark, sf, "average", MIXED).select(batch, "sample_id", "pos", "a", "c", "g", "t")
+    return _onehot(spark, sf, "average", MIXED).groupBy(batch, "pos").agg(*[F.sum(c).alias(f"sum_{c}") for c in "acgt"], F.count(F.lit(1)).alias("n_samples"))
 
 
 def channel_sums(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,11 +199,11 @@ def channel_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 def onehot_packed(spark: SparkSession, sf: str) -> DataFrame:
     """The packed form, summed to compare with SQL."""
-    bases_ = reference_sequence(spark, sf).head()["sequence"]
-    rows = encode.packed(_encodable(spark, sf), testbed.samples(spark, sf))
-    t = encode.packed_tensors(rows, bases_, REGION)
-    channel = lambda i: F.aggregate(F.filter("data", lambda _, k: k % 4 == i), F.lit(0.0), lambda s, x: s + x)
-    return t.select("sample_id", *[channel(i).alias(f"sum_{c}") for i, c in enumerate("acgt")], (F.size("data") / 4).cast("long").alias("n_positions"))
+    whole = testbed.region(spark, sf)
+    bases_ = "".join(r["sequence"] for r in testbed.pieces(testbed.window(spark, sf)).orderBy("start").collect())  # what is broadcast
+    records = _cohort(spark, sf, filters.encodable(testbed.variants(spark, sf), whole))
+    rows = encode.packed(records, testbed.samples(spark, sf))
+    return encode.channel_totals(rows, bases_, whole).drop("sample_idx")
 
 
 def memory_estimate(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +224,7 @@ def _plans(spark: SparkSession) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        vcf_scan, region_filter, region_overlap, chrom_normalize, biallelic_snv, looks_like_snv, drop_duplicate_positions, duplicate_positions,
+        vcf_scan, vcf_file_region, bcf_file_region, filtered_file, file_inspection, region_filter, region_overlap, chrom_normalize, biallelic_snv, looks_like_snv, drop_duplicate_positions, duplicate_positions,
         ensure_biallelic_snvs, inspect_report, sorted_check, unphased_calls, sample_subset, gt_dosage, gt_haps, gt_matrix, encode_reference,
         reference_sequence, reference_at_variants, onehot_average, onehot_separate, hap_mean_equals_average, onehot_batches, channel_sums,
         onehot_packed, memory_estimate, batch_plan,
@@ -197,21 +246,33 @@ WITH raw AS (
   FROM lineitem),
 snv AS (SELECT * FROM raw WHERE length(ref) = 1 AND length(alt) = 1 AND alt <> ref),
 uniq AS (SELECT * FROM snv QUALIFY count(*) OVER (PARTITION BY chrom, pos) = 1),
-inside AS (SELECT * FROM uniq WHERE chrom = '{REGION.chrom}' AND pos BETWEEN {REGION.start} AND {REGION.end}),
-smp AS (SELECT s_suppkey, s_name AS sample_id FROM supplier WHERE s_suppkey < {COHORT}),
-refw AS (SELECT p_partkey + 1 AS pos, substr('ACGTN', p_size % 5 + 1, 1) AS base FROM part WHERE p_partkey BETWEEN {REGION.start - 1} AND {REGION.end - 1}),
-mixed AS (SELECT pos, alt, s_suppkey, sample_id, {_GT(MIXED)} AS gt FROM inside, smp),
+whole AS (SELECT max(p_partkey) + 1 AS n FROM part),
+inside AS (SELECT * FROM uniq WHERE chrom = '{CONTIG}' AND pos <= (SELECT n FROM whole)),
+smp AS (SELECT s_suppkey, s_name AS sample_id FROM supplier),
+refw AS (SELECT p_partkey + 1 AS pos, substr('ACGTN', p_size % 5 + 1, 1) AS base FROM part),
+every AS (SELECT chrom, pos, alt, s_suppkey, sample_id, {_GT(MIXED)} AS gt FROM uniq, smp),
+mixed AS (SELECT * FROM every WHERE chrom = '{CONTIG}'),
 phased AS (SELECT pos, alt, s_suppkey, sample_id, {_GT(PHASED)} AS gt FROM inside, smp),
 averaged AS (
   SELECT s_suppkey, sample_id, pos, {_CHANNELS}
   FROM (SELECT smp.s_suppkey, smp.sample_id, refw.pos, CASE WHEN base = 'N' THEN 'A' ELSE base END AS r, alt AS v, coalesce({_DOSAGE}, 0e0) AS w
         FROM refw CROSS JOIN smp LEFT JOIN mixed ON mixed.pos = refw.pos AND mixed.s_suppkey = smp.s_suppkey)),
+phased_averaged AS (
+  SELECT sample_id, pos, {_CHANNELS}
+  FROM (SELECT smp.sample_id, refw.pos, CASE WHEN base = 'N' THEN 'A' ELSE base END AS r, alt AS v, coalesce({_DOSAGE}, 0e0) AS w
+        FROM refw CROSS JOIN smp LEFT JOIN phased ON phased.pos = refw.pos AND phased.s_suppkey = smp.s_suppkey)),
 separated AS (
   SELECT sample_id, hap, pos, {_CHANNELS}
   FROM (SELECT smp.sample_id, hap, refw.pos, CASE WHEN base = 'N' THEN 'A' ELSE base END AS r, alt AS v,
                coalesce(CASE hap WHEN 1 THEN {_HAP.format("'1|0'")} ELSE {_HAP.format("'0|1'")} END, 0e0) AS w
         FROM refw CROSS JOIN smp CROSS JOIN (SELECT unnest([1, 2]) AS hap) LEFT JOIN phased ON phased.pos = refw.pos AND phased.s_suppkey = smp.s_suppkey))
 """
+_MIDDLE = "BETWEEN (SELECT n // 4 + 1 FROM whole) AND (SELECT 3 * n // 4 FROM whole)"
+_OVERLAPS = "pos <= (SELECT 3 * n // 4 FROM whole) AND pos + length(ref) - 1 >= (SELECT n // 4 + 1 FROM whole)"
+_FILE = f"""
+SELECT chrom, raw.pos, ref, alt, concat_ws(' ', {", ".join("CASE (rec_id * 5 + {} * 13) % {} {} END".format(k, len(PHASED), " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(PHASED))) for k in (7, 0, 11))}) AS calls, base
+FROM raw JOIN refw ON refw.pos = raw.pos WHERE chrom = 'chr2' AND raw.{_OVERLAPS.replace(" AND pos", " AND raw.pos")}
+"""
 _RECORD = "chrom, pos, rec_id, ref, alt"
 _SUMS = "sum(a) AS sum_a, sum(c) AS sum_c, sum(g) AS sum_g, sum(t) AS sum_t, count(*) AS n_positions"
 _PLANS = f"""
@@ -222,8 +283,13 @@ q AS (SELECT *, n * haps * length * 4 * width AS result_bytes, least(n, greatest
 
 ORACLE_SQL: dict[str, str] = {
     "vcf_scan": f"{_WITH} SELECT {_RECORD} FROM raw",
-    "region_filter": f"{_WITH} SELECT {_RECORD} FROM raw WHERE chrom = '{REGION.chrom}' AND pos BETWEEN {REGION.start} AND {REGION.end}",
-    "region_overlap": f"{_WITH} SELECT {_RECORD} FROM raw WHERE chrom = 'chr2' AND pos <= {REGION.end} AND pos + length(ref) - 1 >= {REGION.start}",
+    "vcf_file_region": f"{_WITH} {_FILE}",
+    "bcf_file_region": f"{_WITH} {_FILE}",
+    "filtered_file": f"{_WITH} SELECT chrom, pos, ref, alt FROM uniq WHERE chrom = 'chr3'",
+    "file_inspection": f"""{_WITH}, f AS (SELECT *, row_number() OVER (ORDER BY pos, rec_id, ref, alt) AS k FROM raw WHERE chrom = 'chr4' AND {_OVERLAPS})
+        SELECT {FILE_SAMPLES}::BIGINT AS num_samples, avg(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 0e0 ELSE 1e0 END) AS frac_non_snv_or_multiallelic FROM f WHERE k <= 500""",
+    "region_filter": f"{_WITH} SELECT {_RECORD} FROM raw WHERE chrom = '{CONTIG}' AND pos {_MIDDLE}",
+    "region_overlap": f"{_WITH} SELECT {_RECORD} FROM raw WHERE chrom = 'chr2' AND {_OVERLAPS}",
     "chrom_normalize": f"""{_WITH}, n AS (SELECT DISTINCT replace(chrom, 'chr7', 'chrM') AS chrom FROM raw)
         SELECT chrom, chrom AS prefixed, substr(chrom, 4) AS bare, CASE WHEN chrom = 'chrM' THEN 'chrMT' ELSE chrom END AS mito_alias FROM n""",
     "biallelic_snv": f"{_WITH} SELECT {_RECORD} FROM snv",
@@ -231,21 +297,22 @@ ORACLE_SQL: dict[str, str] = {
     "drop_duplicate_positions": f"{_WITH} SELECT {_RECORD} FROM uniq",
     "duplicate_positions": f"{_WITH} SELECT chrom, pos, count(*) AS n FROM snv GROUP BY chrom, pos HAVING count(*) > 1",
     "ensure_biallelic_snvs": f"{_WITH} SELECT {_RECORD} FROM inside",
-    "inspect_report": f"""{_WITH} SELECT {COHORT}::BIGINT AS num_samples, avg(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 0e0 ELSE 1e0 END) AS frac_non_snv_or_multiallelic
+    "inspect_report": f"""{_WITH} SELECT (SELECT count(*) FROM smp) AS num_samples, avg(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 0e0 ELSE 1e0 END) AS frac_non_snv_or_multiallelic
         FROM raw WHERE rec_no <= 2000""",
     "sorted_check": f"{_WITH}, l AS (SELECT chrom, pos, lag(pos) OVER (PARTITION BY chrom ORDER BY rec_no) AS before FROM raw) SELECT chrom, count(*) FILTER (WHERE before > pos) AS violations FROM l GROUP BY chrom",
-    "unphased_calls": f"{_WITH} SELECT '{REGION.chrom}' AS chrom, pos, count(*) AS n_unphased FROM mixed WHERE gt = '0/1' GROUP BY pos",
-    "sample_subset": f"{_WITH} SELECT CAST(9 - s_suppkey AS INT) AS sample_idx, sample_id FROM smp WHERE s_suppkey % 3 = 0",
-    "gt_dosage": f"{_WITH} SELECT pos, sample_id, gt, {_DOSAGE} AS dosage FROM mixed",
-    "gt_haps": f"""{_WITH} SELECT pos, sample_id, gt, {_HAP.format("'1|0'")} AS hap1, {_HAP.format("'0|1'")} AS hap2 FROM mixed""",
-    "gt_matrix": f"{_WITH} SELECT pos, string_agg(CAST({_DOSAGE} AS VARCHAR), ' ' ORDER BY s_suppkey) AS dosages, count(*) AS n_samples FROM mixed GROUP BY pos",
+    "unphased_calls": f"{_WITH} SELECT chrom, pos, count(*) AS n_unphased FROM every WHERE gt = '0/1' GROUP BY chrom, pos",
+    "sample_subset": "SELECT CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_name) - 1 AS INT) AS sample_idx, s_name AS sample_id FROM supplier WHERE s_acctbal > 0",
+    "gt_dosage": f"{_WITH} SELECT chrom, pos, sample_id, gt, {_DOSAGE} AS dosage FROM every",
+    "gt_haps": f"""{_WITH} SELECT chrom, pos, sample_id, gt, {_HAP.format("'1|0'")} AS hap1, {_HAP.format("'0|1'")} AS hap2 FROM every""",
+    "gt_matrix": f"{_WITH} SELECT chrom, pos, string_agg(CAST({_DOSAGE} AS VARCHAR), ' ' ORDER BY s_suppkey) AS dosages, count(*) AS n_samples FROM every GROUP BY chrom, pos",
     "encode_reference": f"{_WITH} SELECT pos, {', '.join(f'''CASE WHEN base IN ({q}) THEN 1e0 ELSE 0e0 END AS {x}''' for x, q in (('a', "'A', 'N'"), ('c', "'C'"), ('g', "'G'"), ('t', "'T'")))} FROM refw",
-    "reference_sequence": f"{_WITH} SELECT string_agg(base, '' ORDER BY pos) AS sequence, count(*) AS length FROM refw",
-    "reference_at_variants": f"{_WITH} SELECT inside.pos, ref, alt, base FROM inside JOIN refw ON refw.pos = inside.pos",
+    "reference_sequence": f"{_WITH} SELECT (pos - 1) // 1000 * 1000 + 1 AS start, string_agg(base, '' ORDER BY pos) AS sequence, count(*) AS length FROM refw WHERE pos {_MIDDLE} GROUP BY 1",
+    "reference_at_variants": f"{_WITH} SELECT uniq.chrom, uniq.pos, ref, alt, base FROM uniq JOIN refw ON refw.pos = uniq.pos",
     "onehot_average": f"{_WITH} SELECT sample_id, pos, a, c, g, t FROM averaged",
     "onehot_separate": f"{_WITH} SELECT sample_id, hap, pos, a, c, g, t FROM separated",
-    "hap_mean_equals_average": f"{_WITH} SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM averaged",
-    "onehot_batches": f"{_WITH} SELECT CAST(s_suppkey // 4 * 4 AS INT) AS batch_start, sample_id, pos, a, c, g, t FROM averaged",
+    "hap_mean_equals_average": f"""{_WITH}, m AS (SELECT sample_id, pos, {", ".join(f"avg({c}) AS m{c}" for c in "acgt")} FROM separated GROUP BY sample_id, pos)
+        SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT ({" AND ".join(f"{c} = m{c}" for c in "acgt")})) AS n_different FROM phased_averaged JOIN m USING (sample_id, pos)""",
+    "onehot_batches": f"""{_WITH} SELECT CAST(s_suppkey // 4 * 4 AS INT) AS batch_start, pos, {", ".join(f"sum({c}) AS sum_{c}" for c in "acgt")}, count(*) AS n_samples FROM averaged GROUP BY 1, 2""",
     "channel_sums": f"{_WITH} SELECT sample_id, {_SUMS} FROM averaged GROUP BY sample_id",
     "onehot_packed": f"{_WITH} SELECT sample_id, {_SUMS} FROM averaged GROUP BY sample_id",
     "memory_estimate": f"{_PLANS} SELECT DISTINCT dtype, mode, result_bytes, result_bytes / {planning.GIB}e0 AS result_gb FROM q",

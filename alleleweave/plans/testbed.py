@@ -1,18 +1,25 @@
-"""A synthetic cohort made of the driver's tables by plain arithmetic, so that SQL can make the same one."""
+"""A synthetic cohort made of the driver's tables by plain arithmetic, so that SQL can make the same one.
+
+It grows with them: every line of lineitem is a record, every supplier a sample, and part is the reference of each contig.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alleleweave.model import Region
+from alleleweave.operators import sinks
 
-#: The window that the encoding queries look at, and the samples in the cohort.
-REGION = Region("chr1", 1, 300)
-COHORT = 10
+CONTIG = "chr1"
 #: Genotypes by the remainder of a mixing formula: with missing and unphased calls, and phased only.
 MIXED = ("0|0", "0|1", "1|0", "1|1", "./.", "0/1", ".|1")
 PHASED = MIXED[:4]
+#: Order keys whose records are numbered together, and positions of a piece of reference.
+NUMBERED, PIECE = 1 << 14, 1000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +33,10 @@ def _base(number: Column) -> Column:
 def variants(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
     """(chrom, pos, rec_id, ref, alts): lineitem as records, a tenth each indels, multiallelic and long alternates.
 
-    ``numbered`` adds rec_no, the record's place in a total order of the table; that window has one partition.
+    ``numbered`` adds rec_no, the record's place in a total order of the table: by stretches of order keys, which are counted
+    first, so that no task numbers them all.
     """
+    t = _table(spark, sf_dir, "lineitem")
     kind = F.col("l_quantity").cast("int")
     alt = F.concat(_base(F.col("l_orderkey") + 1 + kind % 3), F.when(kind % 10 == 1, ",G").when(kind % 10 == 2, "A").otherwise(""))
     columns = [
@@ -37,24 +46,94 @@ def variants(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFr
         F.concat(_base(F.col("l_orderkey")), F.when(kind % 10 == 0, "T").otherwise("")).alias("ref"),
         F.split(alt, ",").alias("alts"),
     ]
-    if numbered:
-        order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-        columns.append(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rec_no"))
-    return _table(spark, sf_dir, "lineitem").select(*columns)
+    if not numbered:
+        return t.select(*columns)
+    stretch = F.floor(F.col("l_orderkey") / NUMBERED).alias("stretch")
+    ahead = F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))  # a row for each stretch
+    offsets = t.groupBy(stretch).agg(F.count(F.lit(1)).alias("n")).select("stretch", F.coalesce(ahead, F.lit(0)).alias("offset"))
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    inside = F.row_number().over(Window.partitionBy("stretch").orderBy(*order))
+    numbers = t.withColumn("stretch", F.floor(F.col("l_orderkey") / NUMBERED)).withColumn("inside", inside).join(offsets, "stretch")
+    return numbers.select(*columns, (F.col("offset") + F.col("inside")).cast("long").alias("rec_no"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_idx, sample_id): the first suppliers."""
-    return _table(spark, sf_dir, "supplier").where(F.col("s_suppkey") < COHORT).select(F.col("s_suppkey").cast("int").alias("sample_idx"), F.col("s_name").alias("sample_id"))
+    """(sample_idx, sample_id): the suppliers."""
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("sample_idx"), F.col("s_name").alias("sample_id"))
+
+
+def region(spark: SparkSession, sf_dir: str) -> Region:
+    """The whole of a contig."""
+    return Region(CONTIG, 1, _table(spark, sf_dir, "part").agg(F.max("p_partkey")).head()[0] + 1)
 
 
-def window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, base): part as the reference of REGION, with a fifth of N. The bounds stand on the bare key."""
-    p = _table(spark, sf_dir, "part").where(F.col("p_partkey").between(REGION.start - 1, REGION.end - 1))
+def middle(whole: Region) -> Region:
+    """The middle half of a contig."""
+    return Region(whole.chrom, whole.end // 4 + 1, 3 * whole.end // 4)
+
+
+def window(spark: SparkSession, sf_dir: str, wanted: Region | None = None) -> DataFrame:
+    """(pos, base): part as the reference, with a fifth of N, or a region of it. The bounds stand on the bare key."""
+    p = _table(spark, sf_dir, "part")
+    if wanted is not None:
+        p = p.where(F.col("p_partkey").between(wanted.start - 1, wanted.end - 1))
     return p.select((F.col("p_partkey") + 1).alias("pos"), F.substr(F.lit("ACGTN"), F.col("p_size") % 5 + 1, F.lit(1)).alias("base"))
 
 
-def with_genotypes(records: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
-    """``records`` with gts: a call for each sample of the cohort."""
+def pieces(bases: DataFrame) -> DataFrame:
+    """(start, sequence, length): (pos, base) in pieces of ``PIECE`` positions."""
+    at = F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"])
+    start = (F.floor((F.col("pos") - 1) / PIECE) * PIECE + 1).alias("start")
+    return bases.groupBy(start).agg(F.array_join(at, "").alias("sequence"), F.count(F.lit(1)).alias("length"))
+
+
+def with_genotypes(records: DataFrame, wanted: tuple[str, ...], n_samples: int) -> DataFrame:
+    """``records`` with gts: a call for each of ``n_samples``."""
     pick = F.array(*[F.lit(g) for g in wanted])
-    return records.withColumn("gts", F.array(*[F.element_at(pick, ((F.col("rec_id") * 5 + k * 13) % len(wanted)).cast("int") + 1) for k in range(COHORT)]))
+    call = lambda k: F.element_at(pick, ((F.col("rec_id") * 5 + k * 13) % len(wanted)).cast("int") + 1)
+    return records.withColumn("gts", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), call))
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; a temporary one where none is set on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="testbed")
+    shared = "/" + shared.removeprefix("file:").lstrip("/") if shared.startswith("file:") else shared
+    return f"{shared.rstrip('/')}/testbed-{uuid.uuid4().hex}"
+
+
+def header(whole: Region, ids: list[str]) -> list[str]:
+    contigs = [f"##contig=<ID=chr{k},length={whole.end}>" for k in range(1, 8)]
+    return ["##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="Passed">', *contigs, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *ids] if ids else [])])]
+
+
+def in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records sorted by contig and position, as a file has them: rec_no ascends with (chrom, pos), and n is a
+    record's place among those of its position."""
+    order = ("rec_id", "ref", "alt")
+    v = variants(spark, sf_dir).withColumn("alt", F.array_join("alts", ","))
+    v = v.withColumn("n", F.row_number().over(Window.partitionBy("chrom", "pos").orderBy(*order)))
+    return v.withColumn("rec_no", (F.substring("chrom", 4, 9).cast("long") * (1 << 56)) + F.col("pos") * (1 << 20) + F.col("n")).drop("alt", "n")
+
+
+def save_files(spark: SparkSession, sf_dir: str, fmt: str, n_samples: int) -> tuple[str, str]:
+    """All records as an indexed file, ``vcf.gz`` or ``bcf``, with phased calls of ``n_samples``, and the reference as FASTA with its index."""
+    whole, at = region(spark, sf_dir), folder(spark)
+    ids = [f"s{k}" for k in range(n_samples)]
+    v = with_genotypes(in_file_order(spark, sf_dir), PHASED, n_samples).withColumn("line", F.lit(None).cast("string"))
+    save = sinks.save_vcf if fmt == "vcf.gz" else sinks.save_bcf
+    path = save(v, header(whole, ids), f"{at}/cohort.{fmt}")
+    reference = f"{at}/reference.fa"
+    place = 0
+    with open(reference, "w") as f, open(f"{reference}.fai", "w") as index:
+        for k in range(1, 8):
+            name = f">chr{k}\n"
+            place += len(name)
+            print(f"chr{k}", whole.end, place, PIECE, PIECE + 1, sep="\t", file=index)
+            f.write(name)
+            for row in pieces(window(spark, sf_dir)).orderBy("start").toLocalIterator():
+                place += f.write(row["sequence"] + "\n")
+    return path, reference
