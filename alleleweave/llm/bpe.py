@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import release, slices
+
 #: Matches whose ids a Python worker remembers, in about 200 bytes each. It only saves time.
 REMEMBERED = 600_000
 #: A rank file larger than this is refused, as it is broadcast.
@@ -149,8 +151,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # bounds what is held of a batch's ids
-                part = batch.slice(start, 256)
+            for part in slices(batch, 1):
                 ids = [array("i", coder.packed(t.as_py() or "")) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in ids]))
@@ -158,6 +159,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 if decoded:
                     out.append(pa.array(map(coder.decode, ids), pa.binary(), size=len(ids)))
                 yield pa.RecordBatch.from_arrays(out, ["id", "ids", "decoded"][: len(out)])
+        release()
 
     schema = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -174,7 +176,9 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
         for batch in batches:
-            out = [coder.decode(x) if x else b"" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "text"])
+            for part in slices(batch, 1):
+                out = [coder.decode(x) if x else b"" for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["id", "text"])
+        release()
 
     return tokens.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids").mapInArrow(run, f"id {kind}, text binary").withColumnRenamed("id", id_col)

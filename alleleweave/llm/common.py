@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,20 @@ def row_digests(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *told) for seed in (1, 2)]
 
 
+def slices(batch: pa.RecordBatch, column: int, most_rows: int = 256, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``most_rows`` rows and about ``most_bytes`` of a column (text, binary or lists), one row at
+    least: bounds what is made of a batch at a time."""
+    x = batch.column(column)
+    ends = x.offsets.to_numpy() if isinstance(x, pa.ListArray) else np.frombuffer(x.buffers()[1], np.int64 if pa.types.is_large_string(x.type) or pa.types.is_large_binary(x.type) else np.int32, len(x) + 1 + x.offset)[x.offset :] if len(x) else [0]
+    start = 0
+    while start < batch.num_rows:
+        stop = start + 1
+        while stop < batch.num_rows and stop - start < most_rows and ends[stop + 1] - ends[start] <= most_bytes:
+            stop += 1
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def release() -> None:
     """Gives memory that a Python worker has freed back to the machine; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -1,6 +1,6 @@
 """Exact dedup of whole texts: local, salted and global combining, full content compared at every stage.
 
-1. Local: the map-side half of the first aggregation keeps one row for each digest and text of a task.
+1. Local: the map-side half of the first aggregation keeps one row for each digest, salt and text of a task.
 2. Salted: the survivors of one digest meet in ``salts`` groups, so a text that fills a third of
    the table never meets in one task.
 3. Global: the at most ``salts`` winners of a text meet.

@@ -109,6 +109,21 @@ def test_bpe_random_bytes_and_long_matches(encoding):
     assert coder.decode(coder.encode("x" * 70_001)) == b"x" * 70_001
 
 
+def test_slices_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from alleleweave.llm.common import slices
+
+    texts = ["a" * n for n in (5, 0, 100, 7, 7, 7, 300, 1)] + [None, "x"]
+    for kind in (pa.string(), pa.large_string(), pa.binary()):
+        column = pa.array([t if t is None or not pa.types.is_binary(kind) else t.encode() for t in texts], kind)
+        for cut in (0, 3):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), column], ["i", "t"]).slice(cut)
+            parts = list(slices(batch, 1, 3, 20))
+            assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(cut, len(texts)))
+            assert all(p.num_rows == 1 or p.num_rows <= 3 and sum(len(t or "") for t in p.column(1).to_pylist()) <= 20 for p in parts) and max(p.num_rows for p in parts) > 1
+
+
 def test_bpe_decode(spark, docs):
     t = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH, PATTERN)
     assert Counter(bytes(r["text"]) for r in t.collect()) == Counter((t or "").encode() for _, t, _ in rows_of(docs))
