@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checkpointed
+from .common import BROADCAST_BYTES, checkpointed, release
 
 LEAST_LENGTH = 40
 LEAST_DOCS = 5
@@ -140,6 +140,7 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             k2.append(b)
                 longs = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)]
                 yield pa.RecordBatch.from_arrays([*longs, part.column(0).take(pa.array(doc, pa.int64()))], ["k1", "k2", "doc"])
+        release()
 
     found = docs.selectExpr(f"`{id_col}` AS doc", f"CAST(`{text_col}` AS BINARY) AS text").mapInArrow(run, f"k1 long, k2 long, doc {kind}")
     return found.groupBy("k1", "k2", "doc").agg(F.count(F.lit(1)).alias("n"))
@@ -302,6 +303,7 @@ def _apply_broadcast(docs: DataFrame, index: LineIndex, id_col: str, text_col: s
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 yield _rewritten(batch.slice(start, 512), shared.value.keepers, least_length)
+        release()
 
     slim, schema = _slim(docs, id_col, text_col, keep)
     return _named(slim.mapInArrow(run, schema), id_col, text_col, keep)

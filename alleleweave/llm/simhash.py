@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 from .components import components
 
 RADIUS = 3
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+        release()
 
     return docs.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS BINARY) AS text").mapInArrow(run, f"id {kind}, fp long")
 
@@ -141,10 +142,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE) -> Data
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = checkpointed(keyed.join(sizes, ["t", "key"]))
     out = _links(keyed.where(F.col("n") <= large), ["t", "key"], radius)
-    for t, mask in enumerate(covering(radius=radius)):
+    masks = covering(radius=radius)
+    for (t,) in keyed.where(F.col("n") > large).select("t").distinct().orderBy("t").collect():  # at most as many as tables
         hot = keyed.where((F.col("n") > large) & (F.col("t") == t))
-        if not hot.isEmpty():
-            out = out.union(_links(_tables(hot, ~mask & ((1 << 64) - 1), "2", radius), ["t", "key", "t2", "key2"], radius))
+        out = out.union(_links(_tables(hot, ~masks[t] & ((1 << 64) - 1), "2", radius), ["t", "key", "t2", "key2"], radius))
     return out
 
 

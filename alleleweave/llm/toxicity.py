@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 
 #: Bounds of the sample of labelled rows on which the models are fitted: rows and bytes of text, half of either for each class.
 MOST_ROWS = 12_000
@@ -261,6 +261,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             score = [m.score(t.as_py()) for t in batch.column("__text")]
             kept = [batch.column(c) for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c != "__text"), "__score"])
+        release()
 
     extra = [c for c in keep if c != id_col]
     slim = docs.select(F.col(id_col), *[F.col(c) for c in extra], F.col(text_col).cast("binary").alias("__text"))
