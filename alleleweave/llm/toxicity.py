@@ -215,7 +215,10 @@ def fit(texts: list[bytes | None], toxic: list[int], share: float | None = None)
     own = sum(y) / max(1, len(y))
     weigh = lambda v: 1.0 if share is None else share / own if v else (1 - share) / (1 - own)
     weights = logistic(np.array(x).reshape(-1, FEATURES), np.array(y, float), np.array([weigh(v) for v in y])) if 0 < sum(y) < len(y) else np.r_[-3.0 if not sum(y) else 3.0, np.zeros(FEATURES - 1)]
-    return packed(fit_ratios(numbers, toxic, stem_of), known, stem_number, weights)
+    model = packed(fit_ratios(numbers, toxic, stem_of), known, stem_number, weights)
+    del numbers, known, stem_number, stem_of, x
+    release()  # the driver lives on
+    return model
 
 
 def labelled_sample(
