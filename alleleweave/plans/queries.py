@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,26 @@ def file_inspection(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(int(found["num_samples"]), float(found["frac_non_snv_or_multiallelic"]))], "num_samples long, frac_non_snv_or_multiallelic double")
 
 
+def file_samples(spark: SparkSession, sf: str) -> DataFrame:
+    path, _ = testbed.save_files(spark, sf, "bcf", FILE_SAMPLES)
+    return vcf.samples_table(spark, vcf.VariantFile(spark, path).samples)
+
+
+def fasta_contigs(spark: SparkSession, sf: str) -> DataFrame:
+    _, reference = testbed.save_files(spark, sf, "vcf.gz", 1)
+    return spark.createDataFrame([(c.name, c.length) for c in fasta.contigs(spark, reference)], "chrom string, length long")
+
+
+def array_file(spark: SparkSession, sf: str) -> DataFrame:
+    """From BCF and FASTA files to an npz file of both haplotypes, whose arrays are summed to compare with SQL."""
+    path, reference = testbed.save_files(spark, sf, "bcf", FILE_SAMPLES)
+    whole = testbed.region(spark, sf).on("chr5")
+    (out,) = api.run(spark, path, None, str(whole), reference, "separate", fmt="npz", out_dir=testbed.folder(spark), print_estimates=False)
+    with np.load(out) as z:
+        rows = [(str(s), h + 1, *map(float, haps[h].sum(0, dtype=np.float64)), len(haps[h])) for s, haps in zip(z["sample_ids"], z["onehot"]) for h in (0, 1)]
+    return spark.createDataFrame(rows, "sample_id string, hap int, sum_a double, sum_c double, sum_g double, sum_t double, n_positions long")
+
+
 def region_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _alt(filters.in_region(testbed.variants(spark, sf), testbed.middle(testbed.region(spark, sf))))
 
@@ -153,8 +174,9 @@ def gt_haps(spark: SparkSession, sf: str) -> DataFrame:
 
 def gt_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the dosage matrix, its columns joined to one string in sample order."""
-    row = F.transform("gts", lambda g: genotype.dosage(g).cast("double").cast("string"))
-    return _single(spark, sf).select("chrom", "pos", F.array_join(row, " ").alias("dosages"), F.size("gts").cast("long").alias("n_samples"))
+    rows = encode.dosage_rows(_single(spark, sf))
+    text = F.transform("dosages", lambda d: d.cast("double").cast("string"))
+    return rows.select("chrom", "pos", F.array_join(text, " ").alias("dosages"), F.size("dosages").cast("long").alias("n_samples"))
 
 
 def encode_reference(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +190,7 @@ def reference_sequence(spark: SparkSession, sf: str) -> DataFrame:
 
 def reference_at_variants(spark: SparkSession, sf: str) -> DataFrame:
     v = filters.encodable(testbed.variants(spark, sf)).select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"))
-    return v.join(testbed.window(spark, sf), "pos").select("chrom", "pos", "ref", "alt", "base")
+    return encode.with_reference(v, testbed.window(spark, sf), len(testbed.region(spark, sf))).select("chrom", "pos", "ref", "alt", "base")
 
 
 def onehot_average(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +246,8 @@ def _plans(spark: SparkSession) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        vcf_scan, vcf_file_region, bcf_file_region, filtered_file, file_inspection, region_filter, region_overlap, chrom_normalize, biallelic_snv, looks_like_snv, drop_duplicate_positions, duplicate_positions,
+        vcf_scan, vcf_file_region, bcf_file_region, filtered_file, file_inspection, file_samples,
+        fasta_contigs, array_file, region_filter, region_overlap, chrom_normalize, biallelic_snv, looks_like_snv, drop_duplicate_positions, duplicate_positions,
         ensure_biallelic_snvs, inspect_report, sorted_check, unphased_calls, sample_subset, gt_dosage, gt_haps, gt_matrix, encode_reference,
         reference_sequence, reference_at_variants, onehot_average, onehot_separate, hap_mean_equals_average, onehot_batches, channel_sums,
         onehot_packed, memory_estimate, batch_plan,
@@ -286,6 +309,15 @@ ORACLE_SQL: dict[str, str] = {
     "vcf_file_region": f"{_WITH} {_FILE}",
     "bcf_file_region": f"{_WITH} {_FILE}",
     "filtered_file": f"{_WITH} SELECT chrom, pos, ref, alt FROM uniq WHERE chrom = 'chr3'",
+    "file_samples": f"SELECT CAST(k AS INT) AS sample_idx, 's' || k AS sample_id FROM (SELECT unnest(range({FILE_SAMPLES})) AS k)",
+    "fasta_contigs": f"{_WITH} SELECT 'chr' || k AS chrom, n AS length FROM whole, (SELECT unnest(range(1, 8)) AS k)",
+    "array_file": f"""{_WITH}, who AS (SELECT unnest(range({FILE_SAMPLES})) AS s_suppkey),
+        own AS (SELECT pos, alt, s_suppkey, {_GT(PHASED)} AS gt FROM uniq, who WHERE chrom = 'chr5'),
+        each AS (SELECT who.s_suppkey, hap, refw.pos, CASE WHEN base = 'N' THEN 'A' ELSE base END AS r, alt AS v,
+                        coalesce(CASE hap WHEN 1 THEN {_HAP.format("'1|0'")} ELSE {_HAP.format("'0|1'")} END, 0e0) AS w
+                 FROM refw CROSS JOIN who CROSS JOIN (SELECT unnest([1, 2]) AS hap) LEFT JOIN own ON own.pos = refw.pos AND own.s_suppkey = who.s_suppkey),
+        blend AS (SELECT s_suppkey, hap, {_CHANNELS} FROM each)
+        SELECT 's' || s_suppkey AS sample_id, hap, {_SUMS} FROM blend GROUP BY s_suppkey, hap""",
     "file_inspection": f"""{_WITH}, f AS (SELECT *, row_number() OVER (ORDER BY pos, rec_id, ref, alt) AS k FROM raw WHERE chrom = 'chr4' AND {_OVERLAPS})
         SELECT {FILE_SAMPLES}::BIGINT AS num_samples, avg(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 0e0 ELSE 1e0 END) AS frac_non_snv_or_multiallelic FROM f WHERE k <= 500""",
     "region_filter": f"{_WITH} SELECT {_RECORD} FROM raw WHERE chrom = '{CONTIG}' AND pos {_MIDDLE}",
