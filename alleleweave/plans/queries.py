@@ -106,6 +106,19 @@ def array_file(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "sample_id string, hap int, sum_a double, sum_c double, sum_g double, sum_t double, n_positions long")
 
 
+def array_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """From VCF and FASTA files to npy files of five samples each, averaged, and summed."""
+    path, reference = testbed.save_files(spark, sf, "vcf.gz", FILE_SAMPLES)
+    here, at = testbed.middle(testbed.region(spark, sf)).on("chr6"), testbed.folder(spark)
+    files = api.run(spark, path, None, str(here), reference, batch_size=5, out_dir=at, prefix="p", print_estimates=False)
+    ids = vcf.read_sample_list(spark, f"{at}/p.sample_list.txt")
+    rows = []
+    for out in files:
+        first, arrays = int(out.rpartition(".batch")[2].split(".")[0]), np.load(out)
+        rows += [(first, ids[first + k], *map(float, a.sum(0, dtype=np.float64)), len(a)) for k, a in enumerate(arrays)]
+    return spark.createDataFrame(rows, "batch_start int, sample_id string, sum_a double, sum_c double, sum_g double, sum_t double, n_positions long")
+
+
 def region_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _alt(filters.in_region(testbed.variants(spark, sf), testbed.middle(testbed.region(spark, sf))))
 
@@ -247,7 +260,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         vcf_scan, vcf_file_region, bcf_file_region, filtered_file, file_inspection, file_samples,
-        fasta_contigs, array_file, region_filter, region_overlap, chrom_normalize, biallelic_snv, looks_like_snv, drop_duplicate_positions, duplicate_positions,
+        fasta_contigs, array_file, array_batches, region_filter, region_overlap, chrom_normalize, biallelic_snv, looks_like_snv, drop_duplicate_positions, duplicate_positions,
         ensure_biallelic_snvs, inspect_report, sorted_check, unphased_calls, sample_subset, gt_dosage, gt_haps, gt_matrix, encode_reference,
         reference_sequence, reference_at_variants, onehot_average, onehot_separate, hap_mean_equals_average, onehot_batches, channel_sums,
         onehot_packed, memory_estimate, batch_plan,
@@ -318,6 +331,12 @@ ORACLE_SQL: dict[str, str] = {
                  FROM refw CROSS JOIN who CROSS JOIN (SELECT unnest([1, 2]) AS hap) LEFT JOIN own ON own.pos = refw.pos AND own.s_suppkey = who.s_suppkey),
         blend AS (SELECT s_suppkey, hap, {_CHANNELS} FROM each)
         SELECT 's' || s_suppkey AS sample_id, hap, {_SUMS} FROM blend GROUP BY s_suppkey, hap""",
+    "array_batches": f"""{_WITH}, who AS (SELECT unnest(range({FILE_SAMPLES})) AS s_suppkey),
+        own AS (SELECT pos, alt, s_suppkey, {_GT(PHASED)} AS gt FROM uniq, who WHERE chrom = 'chr6'),
+        each AS (SELECT who.s_suppkey, refw.pos, CASE WHEN base = 'N' THEN 'A' ELSE base END AS r, alt AS v, coalesce({_DOSAGE}, 0e0) AS w
+                 FROM refw CROSS JOIN who LEFT JOIN own ON own.pos = refw.pos AND own.s_suppkey = who.s_suppkey WHERE refw.pos {_MIDDLE}),
+        blend AS (SELECT s_suppkey, {_CHANNELS} FROM each)
+        SELECT CAST(s_suppkey // 5 * 5 AS INT) AS batch_start, 's' || s_suppkey AS sample_id, {_SUMS} FROM blend GROUP BY s_suppkey""",
     "file_inspection": f"""{_WITH}, f AS (SELECT *, row_number() OVER (ORDER BY pos, rec_id, ref, alt) AS k FROM raw WHERE chrom = 'chr4' AND {_OVERLAPS})
         SELECT {FILE_SAMPLES}::BIGINT AS num_samples, avg(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 0e0 ELSE 1e0 END) AS frac_non_snv_or_multiallelic FROM f WHERE k <= 500""",
     "region_filter": f"{_WITH} SELECT {_RECORD} FROM raw WHERE chrom = '{CONTIG}' AND pos {_MIDDLE}",
