@@ -860,3 +860,31 @@ def test_stages_take_clashing_columns_repeated_and_null_ids_and_long_texts(spark
             assert sorted((str(x["doc_id"]), ascii_lower(x["text"])[:9]) for x in got) == [("1", "one text "), ("5", "another o"), ("7", ""), ("8", "long long"), ("None", "of no id")]
         docs = spark.createDataFrame(got, out.schema)
     assert p.tokenize(spark, docs, SF).where("doc_id = 8").head()["n_tokens"] >= 400_000
+
+
+def test_very_long_texts_are_used_whole(spark, encoding):
+    """One text of 3 MB among short ones, its decisive parts at the end."""
+    r = random.Random(12)
+    line = "this line of a good length stands in several documents of the table"
+    words = [f"w{r.randrange(3000)}" for _ in range(420_000)]
+    body = " ".join(words) + "\n"
+    long = body + f"\n{line}\nall RIGHTS reserved under CC BY"
+    rows = [(1, long), (2, long.upper()), *((k, f"{line}\nown {k}") for k in range(3, 8)), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(long) > 2_000_000
+    fps = {x["doc_id"]: (x["fp"] % (1 << 64), x["component_id"]) for x in simhash.near_groups(docs).collect()}
+    assert fps[1] == fps[2] == (slow_fingerprint(long), 1)
+    kept = {x["doc_id"]: x for x in lines.line_dedup(docs).collect()}
+    assert kept[1]["n_dropped"] == 1 and kept[1]["text"] == body + "\nall RIGHTS reserved under CC BY" and kept[7]["n_dropped"] == 0
+    found = {x["doc_id"]: tuple(x)[1:6] for x in licenses.license_scan(docs).collect()}
+    assert found[1] == slow_base(long)[:5] and found[1][4] == "cc-by,reserved"
+    assert {x["doc_id"]: x["size"] for x in mixing.mix(docs.withColumn("source", F.lit("a"))).collect()}[1] == len(long.split())
+    groups = {x["doc_id"]: tuple(x)[1:] for x in exact.exact_dedup(docs).collect()}
+    assert groups[1] == (2, 2, False, hashlib.sha256(long.lower().encode()).hexdigest())
+    scores = {x["doc_id"]: x for x in lm.lm_scores(docs, F.col("doc_id") == 2, block_tokens=100_000).collect()}
+    assert scores[1]["n_tokens"] == len(long.split()) + 1 and math.isclose(scores[1]["score"], scores[2]["score"], rel_tol=1e-9)
+    ids = {x["doc_id"]: x["ids"] for x in bpe.encode(docs.where("doc_id = 1"), PATH, PATTERN).collect()}
+    assert ids[1] == encoding.encode_ordinary(long)
+    model = toxicity.fit([f"x{i} {w} y{i}".encode() for w in ("clown", "flower") for i in range(40)], [1] * 40 + [0] * 40)
+    at_end = {x["doc_id"]: x["score"] for x in toxicity.toxicity(spark.createDataFrame([(1, body), (2, body + "you clown there " * 30)], "doc_id long, text string"), model).collect()}
+    assert at_end[2] > at_end[1]
