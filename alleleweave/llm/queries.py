@@ -133,6 +133,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+#: Exact, as op7 is on tables of one list.
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0),
+w AS (SELECT * FROM v WHERE len(e) = (SELECT len(e) FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+d AS (SELECT q.vec_id AS query_id, w.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, w.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score FROM w AS q JOIN w ON w.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score FROM d QUALIFY rank <= 10
+"""
+
 _OP9 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -177,4 +188,4 @@ SELECT doc_id, len(any_value(d.ws))::BIGINT AS n_words, count(*) FILTER (WHERE p
 FROM d LEFT JOIN seen USING (r) GROUP BY r, doc_id
 """
 
-ORACLE_SQL = {"op3_url_filter": _OP3, "op4_exact_dedup": _OP4, "op6_line_dedup": _OP6, "op9_mixing": _OP9, "op10_license_scan": _OP10}
+ORACLE_SQL = {"op3_url_filter": _OP3, "op4_exact_dedup": _OP4, "op6_line_dedup": _OP6, "op7_nearest_neighbours": _OP7, "op9_mixing": _OP9, "op10_license_scan": _OP10}
