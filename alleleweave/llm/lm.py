@@ -19,8 +19,9 @@ Counts are exact and cover all training texts, and nothing of them is ever on on
 Words and pairs are told apart by 64 bits of a hash: of n distinct ones about n**2 / 2**65 share their counts,
 one for six thousand million.
 
-A request has a row for each block and bucket that it has a key of: never more rows than the blocks have
-distinct keys, so rows grow with the input; beyond ``BLOCK`` buckets a row has one key.
+A request has a row for each block and bucket that it has a key of. With more than 2**RELAYED buckets a block asks as many relays
+instead, each for some 2**RELAYED blocks, which put their keys together and ask on: so a row has about 2**10 keys up to 2**20
+buckets of ``BUCKET_TOKENS``, and the keys travel twice.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ from .common import checkpointed, release
 BLOCK = 1 << 20
 #: Tokens for which there is a bucket.
 BUCKET_TOKENS = 1 << 20
+#: Leading bits by which blocks ask buckets at once; with more buckets than that, relays stand between them.
+RELAYED = 10
 #: Tokens that are scored at a time, and bytes of a text that are cut into words at a time.
 SLICE = 1 << 16
 PIECE = 1 << 20
@@ -60,6 +63,9 @@ LEAST_WEIGHT = 1e-6
 ADDED = 0.1
 
 
+OTHER_ORDER = "the texts came in another order when a lost block was made again"
+
+
 def _pack(x: np.ndarray, level: int = 1) -> bytes:
     """Bytes of equal weight stand together, which helps the compressor."""
     return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
@@ -180,39 +186,89 @@ class _Keys(_Parts):
         yield 1, self.pairs, np.bincount(self.pair[self.trained], minlength=len(self.pairs)).astype(np.uint32)
 
 
-def _replies(blocks: DataFrame, bits: int) -> DataFrame:
-    """(block, mark, kind, bucket, totals, seen); the ``seen`` of a kind add up to the number of its trained keys."""
+ASKED = "block long, mark long, kind int, bucket int, keys binary, counts binary"
+SAID = "block long, mark long, kind int, bucket int, totals binary, seen long"
+_asked = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_said = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("seen", pa.int64())])
+
+
+def _cut(keys: np.ndarray, counts: np.ndarray, bits: int, **about) -> list[dict]:
+    """Rows of ASKED for sorted keys: one for each bucket, by the leading bits, that has any."""
+    lead = keys >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]]) if len(keys) else []
+    ends = np.r_[starts[1:], len(keys)] if len(keys) else []
+    return [about | {"bucket": int(lead[s]), "keys": _pack(np.diff(keys[s:e], prepend=np.uint64(0))), "counts": _pack(counts[s:e])} for s, e in zip(starts, ends)]
+
+
+def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of rows of ASKED, which lose their keys and counts; the sums of their counts; and each row's places."""
+    keys = [np.cumsum(_unpack(r.pop("keys"), np.uint64), dtype=np.uint64) for r in rows]
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([_unpack(r.pop("counts"), np.uint32) for r in rows]), minlength=len(distinct))
+    return distinct, total.astype(np.uint64), np.split(at, cuts)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """SAID for ASKED: the totals of a row's keys over all rows of its bucket."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        _, total, places = _added(rows)
+        seen = int((total > 0).sum())
+        out = [r | {"totals": _pack(total[x]), "seen": 0 if k else seen} for k, (r, x) in enumerate(zip(rows, places))]
+        return pa.Table.from_pylist(out, schema=_said)
+
+    return asked.groupBy("kind", "bucket").applyInArrow(add, SAID)
+
+
+def _relayed(asked: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """The same where there are so many buckets that a block has few keys for each. ``asked`` are buckets of ``RELAYED``
+    leading bits; a relay has such a bucket's rows of some 2**RELAYED blocks, about as many keys as a block, asks for them like one
+    with all ``bits``, and hands each block its part of the answer."""
+    relays = asked.withColumn("relay", F.pmod(F.xxhash64("block"), F.lit(max(1, blocks >> RELAYED))).cast("int")).repartition("kind", "bucket", "relay")  # read twice
+
+    def mark_of(distinct: np.ndarray) -> int:
+        return xxhash.xxh3_64_intdigest(distinct.tobytes()) >> 1
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        about = {"block": rows[0]["bucket"] << 32 | rows[0]["relay"], "kind": rows[0]["kind"]}
+        distinct, total, _ = _added(rows)
+        return pa.Table.from_pylist(_cut(distinct, total.astype(np.uint32), bits, mark=mark_of(distinct), **about), schema=_asked)
+
+    def hand_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, said = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        distinct, _, places = _added(rows)
+        totals = np.concatenate([_unpack(r["totals"], np.uint64) for r in said])
+        if {r["mark"] for r in said} != {mark_of(distinct)} or len(totals) != len(distinct):
+            raise RuntimeError(OTHER_ORDER)
+        seen = sum(r["seen"] for r in said)
+        out = [{c: r[c] for c in ("block", "mark", "kind", "bucket")} | {"totals": _pack(totals[x]), "seen": 0 if k else seen} for k, (r, x) in enumerate(zip(rows, places))]
+        return pa.Table.from_pylist(out, schema=_said)
+
+    answers = _answered(relays.groupBy("kind", "bucket", "relay").applyInArrow(pass_on, ASKED))
+    answers = answers.withColumns({"coarse": F.shiftright("block", 32).cast("int"), "relay": F.col("block").bitwiseAND((1 << 32) - 1).cast("int")})
+    return relays.groupBy("kind", "bucket", "relay").cogroup(answers.groupBy("kind", "coarse", "relay")).applyInArrow(hand_back, SAID)
+
+
+def _replies(blocks: DataFrame, bits: int, n_blocks: int) -> DataFrame:
+    """SAID: to each of ``blocks`` the totals of its keys, in their order, by buckets; the ``seen`` of a kind add up to the number
+    of its trained keys."""
+    own = min(bits, RELAYED)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 block = _Keys(row)
                 for kind, keys, counts in block.requests():
-                    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-                    for bucket in np.flatnonzero(np.diff(cuts)):
-                        s, e = cuts[bucket], cuts[bucket + 1]
-                        steps = np.diff(keys[s:e], prepend=np.uint64(0))
-                        yield pa.RecordBatch.from_pylist([{"block": row["block"], "mark": block.mark, "kind": kind, "bucket": int(bucket), "keys": _pack(steps), "counts": _pack(counts[s:e])}], schema=asked)
+                    for asked in _cut(keys, counts, own, block=row["block"], mark=block.mark, kind=kind):
+                        yield pa.RecordBatch.from_pylist([asked], schema=_asked)
                 del block
         release()
 
-    asked = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [np.cumsum(_unpack(r.pop("keys"), np.uint64), dtype=np.uint64) for r in rows]
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        total = np.bincount(at, weights=np.concatenate([_unpack(r.pop("counts"), np.uint32) for r in rows]), minlength=len(distinct)).astype(np.uint64)
-        seen = int((total > 0).sum())
-        for k, (r, x) in enumerate(zip(rows, np.split(at, cuts))):
-            r |= {"totals": _pack(total[x]), "seen": 0 if k else seen}
-        return pa.Table.from_pylist(rows, schema=said)
-
-    said = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("seen", pa.int64())])
-    requests = blocks.mapInArrow(ask, "block long, mark long, kind int, bucket int, keys binary, counts binary")
-    return requests.groupBy("kind", "bucket").applyInArrow(add, "block long, mark long, kind int, bucket int, totals binary, seen long")
+    requests = blocks.mapInArrow(ask, ASKED)
+    return _answered(requests) if bits <= RELAYED else _relayed(requests, bits, n_blocks)
 
 
 def _counted(blocks: DataFrame, replies: DataFrame, kind: str) -> DataFrame:
@@ -224,7 +280,7 @@ def _counted(blocks: DataFrame, replies: DataFrame, kind: str) -> DataFrame:
         said = sorted(right.drop_columns(["seen"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
         words, pairs = (np.concatenate([_unpack(r["totals"], np.uint64) for r in said if r["kind"] == k]) for k in (0, 1))
         if {r["mark"] for r in said} != {b.mark} or len(words) != len(b.words) or len(pairs) != len(b.pairs):
-            raise RuntimeError("the texts came in another order when a lost block was made again")
+            raise RuntimeError(OTHER_ORDER)
         own = np.empty_like(words)
         own[b.order] = words
         counts = [pa.array([own[b.before].astype(np.int64)], pa.list_(pa.int64())), *(pa.array([_pack(x)], pa.binary()) for x in (own[b.word], pairs[b.pair]))]
@@ -296,7 +352,8 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     tokens = slim.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) / 6 + 1)).head()[0] or 0  # about; it only sets the number of buckets
     blocks = _blocks(slim, block_tokens).repartition("block")  # one exchange, read for the requests and again to meet the replies
-    counted = checkpointed(_counted(blocks, _replies(blocks, max(1, math.ceil(math.log2(max(2, tokens / bucket_tokens))))), kind))
+    bits = max(1, math.ceil(math.log2(max(2, tokens / bucket_tokens))))
+    counted = checkpointed(_counted(blocks, _replies(blocks, bits, int(tokens // block_tokens)), kind))
     about = counted.agg(F.sum("train"), F.sum("seen")).head()
     n, v = about[0] or 0, about[1] or 0
     uniform = 1.0 / (v + 1)

@@ -271,8 +271,9 @@ def slow_lm(rows, held):
     return toks, uni, pair, sum(uni.values()), len(uni)
 
 
-@pytest.mark.parametrize("block", [1 << 21, 50])
-def test_lm_counts_and_scores_equal_brute_force(docs, block, monkeypatch):
+@pytest.mark.parametrize("block, relayed", [(1 << 21, 10), (50, 10), (50, 2), (300, 3)])
+def test_lm_counts_and_scores_equal_brute_force(docs, block, relayed, monkeypatch):
+    monkeypatch.setattr(lm, "RELAYED", relayed)
     learned = []
     learn = lm.learn_weights
     monkeypatch.setattr(lm, "learn_weights", lambda h: learned.append(learn(h)) or learned[-1])
