@@ -26,7 +26,7 @@ def _alt(df: DataFrame) -> DataFrame:
 
 def _cohort(spark: SparkSession, sf: str, records: DataFrame, wanted: tuple[str, ...] = MIXED) -> DataFrame:
     """``records`` with a call of every sample."""
-    return testbed.with_genotypes(records, wanted, testbed.samples(spark, sf).count())
+    return testbed.with_genotypes(planning.spread(records, "chrom", "pos"), wanted, testbed.samples(spark, sf).count())
 
 
 def _single(spark: SparkSession, sf: str, wanted: tuple[str, ...] = MIXED) -> DataFrame:

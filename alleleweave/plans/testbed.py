@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from alleleweave.model import Region
 from alleleweave.operators import sinks
+from alleleweave.operators.encode import BROADCAST_BYTES
 
 CONTIG = "chr1"
 #: Genotypes by the remainder of a mixing formula: with missing and unphased calls, and phased only.
@@ -88,10 +89,14 @@ def pieces(bases: DataFrame) -> DataFrame:
 
 
 def with_genotypes(records: DataFrame, wanted: tuple[str, ...], n_samples: int) -> DataFrame:
-    """``records`` with gts: a call for each of ``n_samples``."""
+    """``records`` with gts: a call for each of ``n_samples``. They depend on a remainder of the record, so there are only as many
+    different lists as ``wanted`` has calls."""
     pick = F.array(*[F.lit(g) for g in wanted])
-    call = lambda k: F.element_at(pick, ((F.col("rec_id") * 5 + k * 13) % len(wanted)).cast("int") + 1)
-    return records.withColumn("gts", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), call))
+    call = lambda k: F.element_at(pick, ((F.col("remainder") + k * 13) % len(wanted)).cast("int") + 1)
+    lists = records.sparkSession.range(len(wanted)).select(F.col("id").alias("remainder"))
+    lists = lists.withColumn("gts", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), call))
+    small = len(wanted) * n_samples * 16 <= BROADCAST_BYTES
+    return records.withColumn("remainder", F.col("rec_id") * 5 % len(wanted)).join(F.broadcast(lists) if small else lists, "remainder").drop("remainder")
 
 
 def folder(spark: SparkSession) -> str:
