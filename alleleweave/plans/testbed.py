@@ -106,6 +106,8 @@ def folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="testbed")
+    if "://" in shared.removeprefix("file://"):
+        raise ValueError(f"files are written to a mounted folder, not to {shared}")
     shared = "/" + shared.removeprefix("file:").lstrip("/") if shared.startswith("file:") else shared
     return f"{shared.rstrip('/')}/testbed-{uuid.uuid4().hex}"
 
