@@ -25,6 +25,19 @@ RANGE_BYTES = 32 << 20
 KEY = "coalesce(concat('s', source), '')"
 
 
+def _ahead(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``df`` with ``sums`` over the rows that come before in ``order``: within ranges of it, and over whole ranges, so that no
+    task sees all rows."""
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.unboundedPreceding, -1
+    whole = dealt.groupBy("__part").agg(*[F.sum(x).alias(f"__{c}") for c, x in sums.items()])
+    by_part = Window.orderBy("__part").rowsBetween(*before)  # a row for each range
+    whole = whole.select("__part", *[F.coalesce(F.sum(f"__{c}").over(by_part), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(*before)
+    out = dealt.withColumns({c: F.coalesce(F.sum(x).over(inside), F.lit(0)) for c, x in sums.items()}).join(whole, "__part")
+    return out.withColumns({c: F.col(c) + F.col(f"__{c}") for c in sums}).drop("__part", *[f"__{c}" for c in sums])
+
+
 def target_words(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``sizes`` (source, source_size) with weight, target and ramp.
 
@@ -32,23 +45,17 @@ def target_words(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most:
     all words, by weight; no target exceeds ``most`` times its source, and what that frees is dealt out
     again by weight. That ends where a level L gives min(weight * L, cap) to each source, and the sum of
     these is the share: with sources in order of cap/weight, the first k are capped, and L is what is
-    left over the weight that is left, for the least k at which the next source stays below its cap. The
-    window covers one row for each source, not documents.
+    left over the weight that is left, for the least k at which the next source stays below its cap.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    t = sizes.withColumn("weight", F.element_at(turn, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    t = t.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    t = t.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    t = t.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    t = t.withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    t = t.withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open"))
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))
-    t = t.withColumn("level", F.min(fits).over(everything)["level"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
+    t = _ahead(sizes, [F.col("source").asc_nulls_last()], place=F.lit(1))
+    t = t.withColumn("weight", F.element_at(turn, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    t = _ahead(t.drop("place"), [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], capped=F.col("cap"), lighter=F.col("weight"))
+    total = t.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).head()
+    level = (F.lit((total["size"] or 0) * float(share)) - F.col("capped")) / (F.lit(total["weight"] or 0.0) - F.col("lighter"))
+    fits = t.select((F.col("cap") / F.col("weight")).alias("reach"), "lighter", level.alias("level"), "weight", "cap").where("level * weight <= cap")
+    found = fits.agg(F.min(F.struct("reach", "lighter", "level")).alias("first")).head()["first"]  # of equal reaches the first
+    target = F.col("cap") if found is None else F.least(F.col("cap"), F.lit(found["level"]) * F.col("weight"))
     heaviest = F.lit(float(max(weights)))
     return t.select("source", "source_size", "weight", target.alias("target"), (F.lit(0.5) - F.col("weight") / heaviest).alias("ramp"))
 

@@ -152,7 +152,7 @@ k AS (SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS budget,
              coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
              sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM w),
 l AS (SELECT *, (budget - capped) / open AS level FROM k),
-m AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM l WHERE level * weight <= cap) AS lv FROM l),
+m AS (SELECT *, (SELECT arg_min(level, [cap / weight, -open]) FROM l WHERE level * weight <= cap) AS lv FROM l),
 t AS (SELECT source, source_size, 0.5::DOUBLE - weight / 3.0::DOUBLE AS ramp, CASE WHEN lv IS NULL THEN cap ELSE least(cap, lv * weight) END AS target FROM m),
 o AS (SELECT d.*, t.source_size, t.target, t.ramp,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS mid

@@ -617,6 +617,26 @@ def test_mixing_meets_targets(docs):
     assert Counter((g["doc_id"], g["size"], g["taken"]) for g in got) == Counter((g["doc_id"], g["size"], g["taken"]) for g in again)
 
 
+def test_targets_of_many_sources_equal_brute_force(spark):
+    r = random.Random(13)
+    for n in (1, 2, 7, 300):
+        sizes = {f"s{k:04d}": r.choice([0, 1, 5, 100, 10_000, 400_000]) for k in range(n - 1)} | {None: 50}
+        got = {x["source"]: x["target"] for x in mixing.target_words(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+        weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+        want, rest, left = {}, dict(weight), 1.5 * sum(sizes.values())
+        while rest:
+            share = {s: left * w / sum(rest.values()) for s, w in rest.items()}
+            over = [s for s in rest if share[s] > 2 * sizes[s]]
+            if not over:
+                want |= share
+                break
+            for s in over:
+                want[s] = 2.0 * sizes[s]
+                left -= want[s]
+                del rest[s]
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
+
+
 def test_positions_invert_the_demand(spark):
     for ramp in (-0.5, 0.0, 0.17):
         for t in (0.0, 0.3, 1.0):
