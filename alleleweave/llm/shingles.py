@@ -27,7 +27,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 #: Buckets of up to so many texts have one hub, and what is still apart then is compared pair by pair; larger ones have so
 #: many hubs, and what is still apart is compared by its rarest shingles.
-SMALL, HUBS = 32, 4
+SMALL, HUBS = 32, 6
+#: Bits of a shingle that are compared first.
+CODE = 16
 CHUNK = 2048
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,12 +72,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: tu
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(node, shingles): the sets of the texts whose hash is in ``wanted`` (t), one row for each."""
+    """(node, n, codes, shingles): the sets of the texts whose hash is in ``wanted`` (t), one row for each; n shingles, and the
+    different ``CODE`` bits of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            node, sets = [], []
+            node, sets, codes = [], [], []
             for text in batch.column(0):
                 distinct = np.unique(simhash.shingle_hashes(text.as_py(), shingle))
                 n = simhash.signed(node_of(distinct))
@@ -83,11 +86,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int
                     seen.add(n)
                     node.append(n)
                     sets.append(distinct.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                    codes.append(np.unique((distinct & np.uint64((1 << CODE) - 1)).astype(np.uint16).view(np.int16)))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(codes, pa.list_(pa.int16())), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "codes", "shingles"])
         release()
 
     texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text")).join(wanted, "t", "left_semi")
-    return texts.select("text").mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    return texts.select("text").mapInArrow(run, "node long, n int, codes array<short>, shingles array<long>").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "codes", "shingles")])
 
 
 def jaccard(x: Column, y: Column) -> Column:
@@ -96,10 +100,21 @@ def jaccard(x: Column, y: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have a Jaccard similarity of ``similarity`` at least."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    # The hub is joined last: its side is the one with repeated keys.
-    return pairs.join(b, "b").join(a, "a").where(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+    """Those of ``pairs`` (a, b) whose sets have a Jaccard similarity of ``similarity`` at least.
+
+    The sets' codes come first, a quarter of their bytes: as many shingles as are common at most as codes are, and as either
+    set has shingles beyond its codes. Only pairs that could be alike by that bring their sets together.
+    """
+
+    def both(pairs: DataFrame, *columns: str) -> DataFrame:
+        a, b = (sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
+        # The hub is joined last: its side is the one with repeated keys.
+        return pairs.join(b, "b").join(a, "a")
+
+    spare = F.least(F.col("n_a") - F.size("codes_a"), F.col("n_b") - F.size("codes_b"))
+    most = F.size(F.array_intersect("codes_a", "codes_b")) + spare
+    possible = both(pairs, "n", "codes").where(most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b")
+    return both(possible, "shingles").where(jaccard(F.col("shingles_a"), F.col("shingles_b")) >= similarity).select("a", "b")
 
 
 def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -110,7 +125,7 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     either, must still make up that number. Here the rarest among ``nodes`` come first, so that a passage which many texts share
     makes no pairs.
     """
-    each = sets.join(nodes, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    each = sets.join(nodes, "node").select("node", "root", "n", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1
     shared = each.join(often, "shingle").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))  # of one text
