@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import release, slices
 
 #: Matches whose ids a Python worker remembers, in about 200 bytes each. It only saves time.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: A rank file larger than this is refused, as it is broadcast.
 MOST_BYTES = 16 << 20
 
