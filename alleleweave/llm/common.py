@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -47,6 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that no DataFrame needs any more: it does so when the driver's JVM
+    collects its garbage, which may be long after the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_digests(df: DataFrame) -> list[Column]:
     """128 bits of all columns of a row, as two longs: what tells rows apart that have no key. Nulls count."""
     values = [F.map_entries(F.col(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema.fields]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, release, row_digests
+from .common import checkpointed, free_shuffles, release, row_digests
 from .components import components
 
 SHINGLE = 5
@@ -164,8 +164,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = checkpointed(prints.union(keyed.select(F.explode("hubs").alias("hub"), "node").where("node <> hub")).distinct())
     members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = checkpointed(shingle_sets(docs, worded.join(members, "node", "left_semi").select("t").distinct(), text_col, shingle))
+    free_shuffles(docs.sparkSession)  # here and below: each step's files are as large as the next one's
     links = checkpointed(verified(pairs, sets, similarity))
+    free_shuffles(docs.sparkSession)
     roots = checkpointed(components(links))
+    free_shuffles(docs.sparkSession)
     # What is left are buckets whose members are not all in one component.
     of = keyed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -175,9 +178,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = one.join(two, "key").where("root_a <> root_b AND a < b").select("a", "b")
     if not large.isEmpty():
         pairs = pairs.union(rare_pairs(large.select("node", "root").distinct(), sets, similarity))
-    found = checkpointed(verified(pairs.distinct(), sets, similarity))
+    pairs = checkpointed(pairs.distinct())
+    free_shuffles(docs.sparkSession)
+    found = checkpointed(verified(pairs, sets, similarity))
+    free_shuffles(docs.sparkSession)
     if not found.isEmpty():
         roots = checkpointed(components(links.union(found)))
+        free_shuffles(docs.sparkSession)
     named = checkpointed(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(best, "root").select("node", "root", "component_id")
