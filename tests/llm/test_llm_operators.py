@@ -224,6 +224,15 @@ def slow_url(url, rules):
     return host, path, r and r[3], (r or o or (0, 0, "allow"))[2], o and o[3]
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{v} {h}{p}" for h, p, v in queries.URL_RULES] == contract.split(", ")
+    cases = {"http://a.net/de/1": "allow", "http://example.net/de/7": "allow", "http://example.net/de/8": "block", "http://a.com/en/": "block", "http://spam-farm.example.net/de/1": "allow"}
+    pages = spark.createDataFrame([(n, u) for n, u in enumerate(cases)], "page_id long, url string")
+    rules = urls.entries(spark, [(h, p, v, True) for h, p, v in queries.URL_RULES]).union(urls.listed_entries(spark, queries.LISTED_URLS))
+    assert [r["verdict"] for r in urls.url_filter(pages, rules).orderBy("page_id").collect()] == list(cases.values())
+
+
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_url_filter_equals_brute_force(spark, broadcast_bytes):
     cases = ['http://me:pw@Casino-Win.example.net.:8080/x', 'http://a.files.example.com:80/warez/1', 'http://files.example.com/warez', 'http://x@y@free-bets.example.org', 'http://spam-farm.example.com..?q', 'http://example.com:80/en/7', 'http://:80/', None, "", "x", "://", "http://", "http://COM/en/1", "http://a.Example.com/en/7?x", "http://example.com/en/8", "http://xexample.com/en/7", "https://example.net/de/8#y", "https://net/de/", "http://b.org/es", "http://b.org/es/?q", "http://example.com:80/en/7", "a://b://c.com/en/", "http://spam-farm.example.org", "http://m.cheap-pills.example.com/en/7/x", "http://exämple.com/en/\nx", "http://..com/en/", "http://www.a.b.c.d.e.com/en/zzz"]
